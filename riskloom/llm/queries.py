@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, leakage, splitting
+from riskloom.llm import byte_bpe, leakage, splitting, syntax
 from riskloom.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "source_files"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.acceptance(table(spark, sf_dir, "source_files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -32,7 +44,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
