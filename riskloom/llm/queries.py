@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, leakage, provenance, splitting, syntax
+from riskloom.llm import byte_bpe, leakage, near_duplicates, provenance, splitting, syntax
 from riskloom.runtime import table
 
 
@@ -30,6 +30,14 @@ def p2_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.non_handwritten(table(spark, sf_dir, "source_files"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_pairs(table(spark, sf_dir, "source_files")).select("file_a", "file_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_groups(table(spark, sf_dir, "source_files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_causes, p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_causes, p5_found, p5_groups, p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
