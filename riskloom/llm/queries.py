@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, leakage, near_duplicates, provenance, splitting, syntax
+from riskloom.llm import byte_bpe, credentials, leakage, near_duplicates, provenance, splitting, syntax
 from riskloom.runtime import table
 
 
@@ -38,6 +38,22 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_groups(table(spark, sf_dir, "source_files"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "source_files"), table(spark, sf_dir, "runtime_observations")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(*_records(spark, sf_dir)).select("origin", "record_id", "secret")
+
+
+def p6_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(*_records(spark, sf_dir))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted(*_records(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -60,7 +76,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_causes, p5_found, p5_groups, p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_causes, p5_found, p5_groups, p6_found, p6_scored, p6_redacted, p7_ids, p8_found, p8_spans, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
