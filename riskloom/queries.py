@@ -1,44 +1,654 @@
-"""Queries of the core operators, by name; each takes (spark, sf_dir)."""
+"""Queries of the core operators, by name; each takes (spark, sf_dir). The SQL beside a query gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.operators import message_dedup, nested_records
+from riskloom.catalogs import BEHAVIOR_RULES, DECISIVE_PREFIXES, JAVASCRIPT_CALLS, LINE_PATTERNS, NODE_BUILTINS, SEQUENCES, SEVERITY, WEAK_CODES, calls_of
+from riskloom.operators import (
+    alerts, behavior, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, nested_records, tables, vectors, versions,
+)
 from riskloom.runtime import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_records.link_elements(nested_records.labelled_nodes(table(spark, sf_dir, "runtime_observations")))
 
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return message_dedup.repeated_messages(table(spark, sf_dir, "scan_queue")).select("id")
+    return add
 
 
-def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return message_dedup.kept_messages(table(spark, sf_dir, "scan_queue"))
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_kept)}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# nested records and repeated messages
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.labelled_nodes(table(spark, d, "runtime_observations"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.link_elements(_nodes(spark, d))
+
 
+@query()
+def p3_objects(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.node_table(_nodes(spark, d), "object").select("obs_id", "field", "pre", "post", "depth", "item").distinct()
 
-_MESSAGE = """
-    ecosystem,
+
+@query()
+def p3_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).where("kind NOT IN ('object', 'array')").select("obs_id", "field", "pre", "post", "depth", "kind", "item", "text").distinct()
+
+
+_MESSAGE = r"""ecosystem,
     CASE WHEN lower(trim(ecosystem)) = 'pypi'
-         THEN lower(regexp_replace(trim(package, E' \\t\\r\\n\\x0b\\x0c'), '[-_.]+', '-', 'g'))
-         ELSE trim(package, E' \\t\\r\\n\\x0b\\x0c') END,
-    trim(version, E' \\t\\r\\n\\x0b\\x0c'),
-    source_event
-"""
+         THEN lower(regexp_replace(trim(package, E' \t\r\n\x0b\x0c'), '[-_.]+', '-', 'g'))
+         ELSE trim(package, E' \t\r\n\x0b\x0c') END,
+    trim(version, E' \t\r\n\x0b\x0c'), source_event"""
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY {_MESSAGE} ORDER BY enqueued_at NULLS LAST, id) AS rn FROM scan_queue"
 
 
-def oracle_sql() -> dict[str, str]:
-    ranked = f"SELECT *, row_number() OVER (PARTITION BY {_MESSAGE} ORDER BY enqueued_at NULLS LAST, id) AS rn FROM scan_queue"
-    return {
-        "p4_found": f"SELECT id FROM ({ranked}) WHERE rn > 1",
-        "p4_kept": f"SELECT * EXCLUDE (rn) FROM ({ranked}) WHERE rn = 1",
-    }
+@query(f"SELECT id FROM ({_RANKED}) WHERE rn > 1")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return message_dedup.repeated_messages(table(spark, d, "scan_queue")).select("id")
+
+
+@query(f"SELECT * EXCLUDE (rn) FROM ({_RANKED}) WHERE rn = 1")
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    return message_dedup.kept_messages(table(spark, d, "scan_queue"))
+
+
+# names
+
+
+def _packages(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "scan_queue")
+    return q.select("ecosystem", message_dedup.canonical_package(q["ecosystem"], q["package"]).alias("package")).distinct()
+
+
+_PACKAGES = r"""SELECT DISTINCT ecosystem, CASE WHEN lower(trim(ecosystem)) = 'pypi'
+    THEN lower(regexp_replace(trim(package, E' \t\r\n\x0b\x0c'), '[-_.]+', '-', 'g')) ELSE trim(package, E' \t\r\n\x0b\x0c') END AS package FROM scan_queue"""
+
+
+@query(f"""
+WITH p AS ({_PACKAGES}),
+a AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, lower(package) ORDER BY modified DESC NULLS LAST, advisory_id) AS rn FROM known_malicious)
+SELECT p.ecosystem, p.package, a.advisory_id, a.attack_type, a.source, a.version_glob, a.modified
+FROM p JOIN a ON a.rn = 1 AND p.ecosystem = a.ecosystem AND lower(p.package) = lower(a.package)""")
+def advisory_newest(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.latest_advisory(_packages(spark, d), table(spark, d, "known_malicious"))
+
+
+@query(f"""
+WITH r AS (SELECT DISTINCT q.ecosystem, p.package, q.version FROM (
+    SELECT ecosystem, {_PACKAGES.split("ecosystem, ", 1)[1].rsplit(" FROM", 1)[0]}, trim(version, E' \\t\\r\\n\\x0b\\x0c') AS version FROM scan_queue) q
+    JOIN (SELECT 1) ON true JOIN LATERAL (SELECT q.package) p(package) ON true),
+a AS (SELECT DISTINCT ecosystem, lower(package) AS n, advisory_id, attack_type, version_glob FROM known_malicious)
+SELECT r.ecosystem, r.package, r.version, a.advisory_id, a.attack_type,
+    CASE WHEN a.version_glob IS NULL OR a.version_glob = '*' OR a.version_glob = r.version THEN 'exact' ELSE 'historical_name_match' END AS match_kind
+FROM r JOIN a ON r.ecosystem = a.ecosystem AND lower(r.package) = a.n""")
+def advisory_versions(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "scan_queue")
+    releases = q.select(
+        "ecosystem", message_dedup.canonical_package(q["ecosystem"], q["package"]).alias("package"),
+        F.trim("version", F.lit(message_dedup.BLANKS)).alias("version"),
+    ).distinct()
+    return lookups.match_versions(releases, table(spark, d, "known_malicious"))
+
+
+@query(f"""
+WITH p AS ({_PACKAGES}), b AS (SELECT ecosystem, lower(package) AS n, min(rank) AS rank FROM known_popular GROUP BY ALL)
+SELECT p.ecosystem, p.package, b.rank, coalesce(b.rank <= 5000, false) AS is_popular, coalesce(b.rank <= 1000, false) AS is_top
+FROM p LEFT JOIN b ON p.ecosystem = b.ecosystem AND lower(p.package) = b.n""")
+def popular_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.popularity(_packages(spark, d), table(spark, d, "known_popular"))
+
+
+_SIMILAR = f"""
+p AS (SELECT DISTINCT ecosystem, lower(package) AS package FROM known_malicious WHERE length(package) >= 3),
+t AS (SELECT DISTINCT ecosystem, lower(package) AS candidate FROM known_popular WHERE length(package) >= 3),
+s AS (SELECT p.ecosystem, p.package, t.candidate, levenshtein(p.package, t.candidate) AS distance FROM p JOIN t
+      ON p.ecosystem = t.ecosystem AND abs(length(p.package) - length(t.candidate)) <= 2),
+x AS (SELECT *, round(1 - distance / greatest(length(package), length(candidate)), 3) AS similarity FROM s WHERE distance BETWEEN 1 AND 2)"""
+
+
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.similar_names(table(spark, d, "known_malicious"), table(spark, d, "known_popular"))
+
+
+@query(f"""WITH {_SIMILAR}, r AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, package ORDER BY similarity DESC, candidate) AS place FROM x)
+SELECT ecosystem, package, candidate, distance, similarity, place FROM r WHERE place <= 5""")
+def typosquat_topk(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.top_similar(_similar(spark, d))
+
+
+@query(f"""WITH {_SIMILAR}, r AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, package ORDER BY distance, candidate) AS place FROM x)
+SELECT ecosystem, package, candidate, distance FROM r WHERE place = 1""")
+def closest_name(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.closest_name(_similar(spark, d))
+
+
+# keyed tables
+
+
+def _feed_halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = table(spark, d, "known_malicious").select("advisory_id", "ecosystem", "package", "attack_type", "published", "modified").distinct()
+    return a.where("published < '2025-01-01'"), a.where("published >= '2024-10-01'")
+
+
+_HALVES = """
+a AS (SELECT DISTINCT advisory_id, ecosystem, package, attack_type, published, modified FROM known_malicious),
+o AS (SELECT *, 0 AS n FROM a WHERE published < '2025-01-01'), w AS (SELECT *, 1 AS n FROM a WHERE published >= '2024-10-01')"""
+
+
+@query(f"""WITH {_HALVES}, u AS (SELECT * FROM o UNION ALL SELECT * FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY advisory_id, ecosystem, package ORDER BY n DESC, modified DESC NULLS LAST, attack_type NULLS LAST, published) AS rn FROM u)
+SELECT advisory_id, ecosystem, package, attack_type, published, modified FROM r WHERE rn = 1""")
+def feed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _feed_halves(spark, d)
+    return tables.latest_wins(old, new, ["advisory_id", "ecosystem", "package"], F.col("modified"))
+
+
+@query(f"""WITH {_HALVES}
+SELECT DISTINCT w.ecosystem, w.package, TIMESTAMP '2025-07-01 00:00:00' AS invalidated_at, 'new advisory: ' || w.advisory_id AS reason
+FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.advisory_id = w.advisory_id AND o.ecosystem = w.ecosystem AND o.package = w.package)""")
+def feed_invalidations(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _feed_halves(spark, d)
+    return tables.invalidations(old, new, ["advisory_id", "ecosystem", "package"], F.lit("2025-07-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o_orderkey, max(l_shipdate) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o.o_orderkey, o.o_custkey, o.o_orderdate FROM orders o LEFT JOIN l USING (o_orderkey) WHERE m IS NULL OR m <= o.o_orderdate""")
+def cache_valid(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    log = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    return tables.still_valid(cache, log, ["o_orderkey"], "o_orderdate", "l_shipdate")
+
+
+@query("""SELECT substr(sha256(string_agg(line, '|' ORDER BY line)), 1, 16) AS digest FROM (
+    SELECT concat_ws('=', coalesce(ecosystem, ''), coalesce(package, ''), coalesce(CAST(rank AS VARCHAR), '')) AS line FROM known_popular)""")
+def feed_digest(spark: SparkSession, d: str) -> DataFrame:
+    return tables.digest(table(spark, d, "known_popular"), ["ecosystem", "package", "rank"])
+
+
+@query("\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("known_malicious", "known_popular", "runtime_observations", "scan_queue")))
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    names = ("known_malicious", "known_popular", "runtime_observations", "scan_queue")
+    return tables.row_counts({t: table(spark, d, t) for t in names})
+
+
+@query("""SELECT ecosystem, count(*) FILTER (locked_at IS NULL AND completed_at IS NULL) AS pending,
+    count(*) FILTER (locked_at IS NOT NULL AND completed_at IS NULL) AS locked, count(*) FILTER (starts_with(result, 'OK')) AS ok,
+    count(*) FILTER (starts_with(result, 'ERR')) AS failed, count(*) AS total FROM scan_queue GROUP BY 1""")
+def queue_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scan_queue").groupBy("ecosystem").agg(
+        F.count_if(F.col("locked_at").isNull() & F.col("completed_at").isNull()).alias("pending"),
+        F.count_if(F.col("locked_at").isNotNull() & F.col("completed_at").isNull()).alias("locked"),
+        F.count_if(F.col("result").startswith("OK")).alias("ok"),
+        F.count_if(F.col("result").startswith("ERR")).alias("failed"),
+        F.count("*").alias("total"),
+    )
+
+
+@query("SELECT id, ecosystem, priority, enqueued_at FROM scan_queue WHERE completed_at IS NULL AND locked_at IS NULL ORDER BY priority, enqueued_at, id LIMIT 50")
+def queue_head(spark: SparkSession, d: str) -> DataFrame:
+    pending = table(spark, d, "scan_queue").where("completed_at IS NULL AND locked_at IS NULL")
+    return pending.orderBy("priority", "enqueued_at", "id").limit(50).select("id", "ecosystem", "priority", "enqueued_at")
+
+
+# versions and dependencies
+
+_KEY = "list_transform(string_split(version, '.'), lambda p: coalesce(try_cast(CASE WHEN regexp_full_match(p, '[0-9]+') THEN p END AS INTEGER), 9999))"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT ecosystem, package, version FROM source_files WHERE version IS NOT NULL)
+SELECT ecosystem, package, version, lag(version, 1) OVER w AS before_1, lag(version, 3) OVER w AS before_3, lag(version, 5) OVER w AS before_5
+FROM r WINDOW w AS (PARTITION BY ecosystem, package ORDER BY {_KEY}, version)""")
+def version_predecessors(spark: SparkSession, d: str) -> DataFrame:
+    return versions.predecessors(table(spark, d, "source_files"))
+
+
+@query()
+def range_best(spark: SparkSession, d: str) -> DataFrame:
+    """Greatest released version within every range that manifests name for released packages."""
+    found = dependencies.npm_dependencies(table(spark, d, "source_files"))
+    specs = found.select("ecosystem", F.col("name").alias("package"), "spec")
+    return versions.max_satisfying(specs, table(spark, d, "source_files"))
+
+
+@query("""WITH v AS (SELECT DISTINCT 'npm' AS ecosystem, 'p' || (l_suppkey % 20) AS package,
+    (l_orderkey % 5) || '.' || (l_partkey % 10) || '.' || l_linenumber AS version FROM lineitem),
+k AS (SELECT *, string_split(version, '.')[1]::INT AS a, string_split(version, '.')[2]::INT AS b, string_split(version, '.')[3]::INT AS c FROM v),
+s(spec) AS (VALUES ('^1.2.0'), ('~2.3.1'), ('>=3.0.0'), ('<2.0.0'), ('*'), ('^9.0.0'), ('1.2.3 || ^4.1.0'), ('3.x')),
+f AS (SELECT package, ecosystem, spec, version, a, b, c, CASE spec
+    WHEN '^1.2.0' THEN a = 1 AND (a, b, c) >= (1, 2, 0) WHEN '~2.3.1' THEN a = 2 AND b = 3 AND c >= 1 WHEN '>=3.0.0' THEN (a, b, c) >= (3, 0, 0)
+    WHEN '<2.0.0' THEN (a, b, c) < (2, 0, 0) WHEN '*' THEN true WHEN '^9.0.0' THEN a = 9 AND (a, b, c) >= (9, 0, 0)
+    WHEN '3.x' THEN a = 3 ELSE (a, b, c) = (1, 2, 3) OR a = 4 AND (a, b, c) >= (4, 1, 0) END AS ok FROM k, s)
+SELECT ecosystem, package, spec, arg_max(version, (a, b, c)) FILTER (ok) AS best FROM f GROUP BY ALL""")
+def semver_max(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    releases = li.select(
+        F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), (F.col("l_suppkey") % 20).cast("string")).alias("package"),
+        F.concat_ws(".", (F.col("l_orderkey") % 5).cast("string"), (F.col("l_partkey") % 10).cast("string"), F.col("l_linenumber").cast("string")).alias("version"),
+    ).distinct()
+    ranges = ["^1.2.0", "~2.3.1", ">=3.0.0", "<2.0.0", "*", "^9.0.0", "1.2.3 || ^4.1.0", "3.x"]
+    specs = releases.select("ecosystem", "package").distinct().select("*", F.explode(F.array(*map(F.lit, ranges))).alias("spec"))
+    return versions.max_satisfying(specs, releases)
+
+
+_BLOCKS = "\nUNION ALL ".join(
+    f"SELECT ecosystem, package, version, '{kind}' AS kind, unnest(json_keys(j, '$.{block}')) AS name, json_extract(j, '$.{block}') AS b FROM j"
+    for block, kind in dependencies.BLOCKS.items()
+)
+_NPM = f"""j AS (SELECT ecosystem, package, version, CAST(content AS JSON) AS j FROM source_files WHERE basename = 'package.json' AND json_valid(content)),
+e AS ({_BLOCKS}),
+dep AS (SELECT DISTINCT ecosystem, package, version, name, json_extract_string(b, '$."' || name || '"') AS spec, kind FROM e)"""
+
+
+@query(f"WITH {_NPM} SELECT * FROM dep")
+def dependencies_npm(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.npm_dependencies(table(spark, d, "source_files"))
+
+
+@query()
+def dependencies_all(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.all_dependencies(table(spark, d, "source_files"))
+
+
+@query(f"""WITH {_NPM}, direct AS (SELECT ecosystem, package, version, name, min(spec) AS spec FROM dep WHERE kind = 'direct' GROUP BY ALL),
+r AS (SELECT DISTINCT ecosystem, package, version FROM direct),
+p AS (SELECT *, lag(version) OVER (PARTITION BY ecosystem, package ORDER BY {_KEY}, version) AS before_1 FROM r),
+n AS (SELECT p.*, d.name, d.spec AS spec_now FROM p JOIN direct d USING (ecosystem, package, version) WHERE before_1 IS NOT NULL),
+t AS (SELECT p.*, d.name, d.spec AS spec_before FROM p JOIN direct d ON p.ecosystem = d.ecosystem AND p.package = d.package AND p.before_1 = d.version),
+c AS (SELECT *, CASE WHEN spec_before IS NULL THEN 'added' WHEN spec_now IS NULL THEN 'removed' WHEN spec_now <> spec_before THEN 'version_changed' END AS change
+      FROM n FULL JOIN t USING (ecosystem, package, version, before_1, name))
+SELECT ecosystem, package, version, before_1, name, spec_now, spec_before, change FROM c WHERE change IS NOT NULL""")
+def dependency_changes(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.changed_dependencies(dependencies.npm_dependencies(table(spark, d, "source_files")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS parent, (p_partkey * 7 + k) % (SELECT count(*) FROM part) AS child FROM part, range(1, 4) t(k)),
+w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 100 = 0
+      UNION SELECT w.root, e.child, w.depth + 1 FROM w JOIN e ON w.node = e.parent WHERE w.depth < 4)
+SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0""")
+def dependency_reach(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    n = part.count()
+    edges = part.select(F.col("p_partkey").alias("parent"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
+    edges = edges.select("parent", ((F.col("parent") * 7 + F.col("k")) % n).alias("child"))
+    roots = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("root"))
+    return dependencies.reachable(edges, roots, 4)
+
+
+# files
+
+_CLASS = " ".join(
+    f"WHEN x IN ({quoted(exts.split())}) THEN '{name}'" for name, exts in files.CLASSES.items()
+)
+
+
+@query(f"""SELECT file_id, ecosystem, package, version, path, CASE {_CLASS} ELSE 'other' END AS file_class,
+    coalesce(list_has_any(string_split(regexp_replace(path, '[^/]*$', ''), '/'), [{quoted(files.EXCLUDED)}]), false) AS excluded,
+    regexp_replace(path, '^(?:package|[^/]+-[0-9][^/]*)/', '') AS inner_path
+FROM (SELECT *, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS x FROM source_files)""")
+def file_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = files.classified(table(spark, d, "source_files"))
+    return rows.select("file_id", "ecosystem", "package", "version", "path", "file_class", "excluded", "inner_path")
+
+
+@query("""WITH h AS (SELECT DISTINCT ecosystem, package, version, path, sha256(coalesce(content, '')) AS h FROM source_files)
+SELECT ecosystem, package, version, count(*) AS files, substr(sha256(string_agg(coalesce(path, '') || ':' || h, E'\\n' ORDER BY coalesce(path, '') || ':' || h)), 1, 32) AS fingerprint
+FROM h GROUP BY ALL""")
+def package_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return files.fingerprints(table(spark, d, "source_files"))
+
+
+_IMPORTS = [
+    r"(?m)^\s*import\s+(?:[\w*{}\s,$]+\s+from\s+)?['\"]([^'\"]+)['\"]", r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)",
+    r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", r"(?m)^\s*export\s+[\w*{}\s,$]+\s+from\s+['\"]([^'\"]+)['\"]",
+]
+
+
+@query(f"""WITH f AS (SELECT * FROM source_files WHERE lower(trim(language)) = 'javascript' AND content IS NOT NULL),
+m AS (SELECT ecosystem, package, version, path, unnest(list_concat({", ".join(f"regexp_extract_all(content, {literal(p)}, 1)" for p in _IMPORTS)})) AS m FROM f),
+x AS (SELECT DISTINCT ecosystem, package, version, path, regexp_extract(regexp_replace(m, '^node:', ''), '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) AS module
+      FROM m WHERE NOT regexp_matches(m, '^[./]'))
+SELECT * FROM x WHERE module <> '' AND module NOT IN ({quoted(NODE_BUILTINS)})""")
+def imports_javascript(spark: SparkSession, d: str) -> DataFrame:
+    return files.javascript_imports(table(spark, d, "source_files"))
+
+
+@query()
+def imports_python(spark: SparkSession, d: str) -> DataFrame:
+    return files.python_imports(table(spark, d, "source_files"))
+
+
+@query("""WITH j AS (SELECT ecosystem, package, version, path, CAST(content AS JSON) AS j FROM source_files WHERE basename = 'package.json' AND json_valid(content)),
+e AS (SELECT *, unnest(json_keys(j, '$.scripts')) AS hook FROM j)
+SELECT DISTINCT ecosystem, package, version, path, hook, json_extract_string(j, '$.scripts."' || hook || '"') AS command FROM e
+WHERE hook IN ('preinstall', 'install', 'postinstall', 'prepare')""")
+def scripts_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    return files.lifecycle_scripts(table(spark, d, "source_files"))
+
+
+@query("""WITH c AS (SELECT file_id, ecosystem, package, version, path, size, sum(coalesce(size, 0)) OVER
+    (PARTITION BY ecosystem, package, version ORDER BY path, file_id ROWS UNBOUNDED PRECEDING) AS running_bytes FROM (SELECT DISTINCT * FROM source_files))
+SELECT file_id, CAST(running_bytes AS BIGINT) AS running_bytes FROM c WHERE running_bytes <= 20000""")
+def files_capped(spark: SparkSession, d: str) -> DataFrame:
+    return files.capped_prefix(table(spark, d, "source_files").distinct(), 20000).select("file_id", "running_bytes")
+
+
+# indicators
+
+_LINES = """l AS (SELECT DISTINCT id, line_no, line FROM (SELECT id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM
+    (SELECT id, string_split(replace(replace(raw_event, E'\\r\\n', E'\\n'), E'\\r', E'\\n'), E'\\n') AS ls FROM runtime_observations WHERE raw_event IS NOT NULL)))"""
+_HITS = "\nUNION ALL ".join(
+    f"SELECT id, {k} AS rule, '{code}' AS code, CAST({c} AS DOUBLE) AS confidence, min(line_no) AS line_no FROM l WHERE regexp_matches(line, {literal(p)}) GROUP BY id"
+    for k, (code, c, p) in enumerate(LINE_PATTERNS)
+)
+_SEVERITY = "CASE " + " ".join(f"WHEN code IN ({quoted([c for c, s in SEVERITY.items() if s == level])}) THEN '{level}'" for level in ("HIGH", "MEDIUM", "LOW")) + " END"
+_BEST = f"""{_LINES}, h AS ({_HITS}),
+b AS (SELECT id, code, max(confidence) AS confidence, arg_min(line_no, (-confidence, line_no)) AS line_no, {_SEVERITY} AS severity FROM h GROUP BY id, code)"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.line_hits(table(spark, d, "runtime_observations"), "id", "raw_event")
+
+
+@query(f"WITH {_LINES}, h AS ({_HITS}) SELECT id, code, confidence, line_no FROM h")
+def indicator_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d)
+
+
+@query(f"WITH {_BEST} SELECT * FROM b")
+def indicator_best(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.best_hits(_hits(spark, d), "id")
+
+
+_DECISIVE = " OR ".join(f"starts_with(code, '{p}')" for p in DECISIVE_PREFIXES)
+_ESCALATED = f"""{_BEST}, w AS (SELECT *, code IN ({quoted(WEAK_CODES)}) AND NOT bool_or({_DECISIVE}) OVER (PARTITION BY id) AS weak FROM b),
+e AS (SELECT id, code, line_no, CASE WHEN weak THEN 'LOW' ELSE severity END AS severity,
+    CASE WHEN weak THEN 'benign' WHEN severity = 'HIGH' AND confidence >= 0.8 THEN 'malicious'
+         WHEN severity IN ('HIGH', 'MEDIUM') AND confidence >= 0.5 THEN 'suspicious' ELSE 'benign' END AS verdict,
+    CASE WHEN weak THEN least(confidence, 0.4) ELSE confidence END AS confidence FROM w)"""
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.escalated(indicators.best_hits(_hits(spark, d), "id"), "id")
+
+
+@query(f"WITH {_ESCALATED} SELECT * FROM e")
+def indicator_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d)
+
+
+@query(f"""WITH {_ESCALATED}, g AS (SELECT id, count(*) AS evidence_count, round(avg(confidence), 6) AS avg_confidence, bool_or(severity = 'HIGH') AS hi,
+    bool_or(verdict = 'malicious') AS mal, bool_or(confidence >= 0.85 AND verdict <> 'benign' AND severity <> 'LOW') AS close,
+    bool_or(confidence >= 0.7 AND verdict <> 'benign') AS near, count(*) FILTER (verdict IN ('suspicious', 'malicious') AND confidence >= 0.5) AS doubts FROM e GROUP BY 1)
+SELECT d.id, coalesce(evidence_count, 0) AS evidence_count, avg_confidence, CASE WHEN evidence_count IS NULL THEN 'CLEAN'
+    WHEN hi AND mal AND avg_confidence >= 0.85 THEN 'MALICIOUS' WHEN close AND doubts >= 1 THEN 'HIGH_RISK' WHEN near OR doubts >= 2 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict
+FROM (SELECT DISTINCT id FROM runtime_observations) d LEFT JOIN g USING (id)""")
+def verdict_per_observation(spark: SparkSession, d: str) -> DataFrame:
+    e = _evidence(spark, d).withColumn("similarity", F.col("confidence")).withColumnRenamed("verdict", "review")
+    return evidence.verdicts(table(spark, d, "runtime_observations"), e, "id")
+
+
+@query()
+def indicator_texts(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.text_hits(table(spark, d, "source_files").dropDuplicates(["file_id"]), "file_id", "content")
+
+
+@query(f"""WITH {_BEST}, s AS (SELECT DISTINCT id, source FROM runtime_observations), c AS (SELECT source, code, count(*) AS n FROM b JOIN s USING (id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, code) AS place FROM c)
+SELECT source, code, n, place FROM r WHERE place <= 10""")
+def code_topk(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "runtime_observations").select("id", "source").distinct()
+    return evidence.top_codes(indicators.best_hits(_hits(spark, d), "id").join(kinds, "id"), "source", "code")
+
+
+@query(r"""WITH s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '["'']([A-Za-z0-9+/=_.-]{16,200})["'']', 1)) AS value FROM documents),
+c AS (SELECT value, unnest(string_split(value, '')) AS ch FROM (SELECT DISTINCT value FROM s)),
+n AS (SELECT value, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
+e AS (SELECT value, round(-sum(n / length(value) * log2(n / length(value))), 6) AS entropy FROM n GROUP BY value)
+SELECT doc_id, value, length(value) AS chars, entropy FROM s JOIN e USING (value)""")
+def entropy_strings(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.suspicious_strings(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def decoded_strings(spark: SparkSession, d: str) -> DataFrame:
+    found = indicators.suspicious_strings(table(spark, d, "source_files"), "file_id", "content")
+    return indicators.decoded_strings(found).where("encoding IS NOT NULL")
+
+
+# behaviour
+
+
+@query()
+def calls_python(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.python_calls(table(spark, d, "source_files"))
+
+
+_JS_NAMES = "|".join(sorted((n.replace(".", r"\.") for n, _ in calls_of(JAVASCRIPT_CALLS)), key=len, reverse=True))
+_JS_CALL = rf"(?:^|[^A-Za-z0-9_$.])({_JS_NAMES})\s*[(\[.]"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT file_id, string_split(replace(replace(content, E'\\r\\n', E'\\n'), E'\\r', E'\\n'), E'\\n') AS ls FROM source_files
+    WHERE lower(trim(language)) = 'javascript' AND content IS NOT NULL),
+l AS (SELECT file_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM f),
+c AS (SELECT DISTINCT file_id, line_no, unnest(regexp_extract_all(line, {literal(_JS_CALL)}, 1)) AS name FROM l),
+k(name, dimension) AS (VALUES {", ".join(f"('{n}', '{x}')" for n, x in calls_of(JAVASCRIPT_CALLS))})
+SELECT file_id, line_no, name, dimension FROM c JOIN k USING (name)""")
+def calls_javascript(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.javascript_calls(table(spark, d, "source_files"))
+
+
+def _letter():
+    t = F.col("event_type")
+    return F.when(t == "view", "I").when(t == "click", "E").when(t == "purchase", "X").when(t == "signup", "T")
+
+
+_TRACE = """t AS (SELECT user_id, string_agg(x, '' ORDER BY ts, event_id) AS trace FROM (SELECT *,
+    CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'E' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN 'T' END AS x FROM events) WHERE x IS NOT NULL GROUP BY 1)"""
+
+
+def _traces(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.letters(table(spark, d, "events"), "user_id", ["ts", "event_id"], _letter())
+
+
+@query(
+    f"WITH {_TRACE} "
+    + "\nUNION ALL ".join(
+        f"SELECT user_id, '{code}' AS pattern, '{level}' AS severity, length(regexp_extract(trace, '^(.*?)(?:{p})', 1)) AS start, regexp_extract(trace, '{p}') AS matched FROM t WHERE regexp_matches(trace, '{p}')"
+        for code, level, p in SEQUENCES
+    )
+)
+def sequence_mining(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.mined(_traces(spark, d), "user_id")
+
+
+@query(
+    "WITH s AS (SELECT user_id, list_distinct(list(CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'E' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN 'T' END)) AS k FROM events WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-05' GROUP BY 1)\n"
+    + "\nUNION ALL ".join(f"SELECT user_id, '{code}' AS rule, '{level}' AS severity FROM s WHERE list_has_all(k, [{quoted(need)}])" for code, need, level in BEHAVIOR_RULES)
+)
+def behavior_rules(spark: SparkSession, d: str) -> DataFrame:
+    day = table(spark, d, "events").where("date_trunc('day', ts) = '2024-01-05'")
+    sets = day.groupBy("user_id").agg(F.array_sort(F.collect_set(_letter())).alias("letters"))
+    return behavior.ruled(sets, "user_id", "letters")
+
+
+_PROFILE = """o AS (SELECT *, CAST(date_trunc('day', ts) AS DATE) AS day FROM events),
+p AS (SELECT user_id, max(n) AS most, list_sort(list_distinct(flatten(list(k)))) AS kinds FROM
+    (SELECT user_id, day, count(*) AS n, list(DISTINCT event_type) AS k FROM o WHERE day < DATE '2024-01-15' GROUP BY ALL) GROUP BY 1)"""
+
+
+def _baseline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return o, behavior.profiles(o.where("day < '2024-01-15'"), "user_id", "day", "event_type")
+
+
+@query(f"WITH {_PROFILE} SELECT user_id, most, array_to_string(kinds, ',') AS kinds FROM p")
+def baseline_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return _baseline(spark, d)[1].withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(f"""WITH {_PROFILE}, w AS (SELECT user_id, count(*) AS n, list(DISTINCT event_type) AS kinds FROM o WHERE day >= DATE '2024-01-15' GROUP BY 1),
+j AS (SELECT w.user_id, n, most, list_sort(list_filter(w.kinds, lambda k: NOT list_contains(p.kinds, k))) AS new FROM w JOIN p USING (user_id))
+SELECT user_id, n, most, n > 3 * most AND n >= 5 AS burst, array_to_string(new, ',') AS new_kinds,
+    CASE WHEN len(new) > 0 THEN 'high' WHEN n > 3 * most AND n >= 5 THEN 'medium' ELSE 'info' END AS severity FROM j""")
+def baseline_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    o, profile = _baseline(spark, d)
+    seen = o.where("day >= '2024-01-15'").groupBy("user_id").agg(F.count("*").alias("n"), F.collect_set("event_type").alias("kinds"))
+    return behavior.anomalies(seen, profile, "user_id")
+
+
+# alerts
+
+_ALERT = r"""a AS (SELECT DISTINCT ON (id) id, source, host, package,
+    CASE WHEN regexp_full_match(trim(received_at), '\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|\+00:?00)?')
+         THEN CAST(replace(substr(trim(received_at), 1, 19), 'T', ' ') AS TIMESTAMP) END AS received_at,
+    CASE WHEN starts_with(raw_event, '"') THEN CASE WHEN json_valid(raw_event) THEN json_extract_string(raw_event, '$') END ELSE raw_event END AS payload
+    FROM runtime_observations)"""
+_TRUSTED = " OR ".join(f"value = '{t}' OR ends_with(value, '.{t}')" for t in alerts.TRUSTED_DOMAINS)
+_IOC = f"""{_ALERT}, r AS (
+    SELECT id, 'ip' AS type, unnest(regexp_extract_all(lower(payload), {literal(alerts.IPV4)})) AS value FROM a
+    UNION ALL SELECT id, 'domain', unnest(regexp_extract_all(lower(payload), {literal(alerts.DOMAIN)})) FROM a
+    UNION ALL SELECT id, 'sha256', unnest(regexp_extract_all(lower(payload), {literal(alerts.SHA256)})) FROM a
+    UNION ALL SELECT id, 'path', unnest(regexp_extract_all(lower(payload), {literal(alerts.PATH)})) FROM a),
+i AS (SELECT DISTINCT id, type, value, CAST(CASE type WHEN 'ip' THEN 0.7 WHEN 'domain' THEN 0.75 WHEN 'path' THEN 0.65 ELSE 0.85 END AS DOUBLE) AS confidence FROM r
+    WHERE CASE type WHEN 'ip' THEN NOT regexp_matches(value, {literal(alerts.INTERNAL_IP)}) WHEN 'domain' THEN NOT ({_TRUSTED}) AND NOT regexp_matches(value, '^[0-9.]+$')
+        WHEN 'path' THEN regexp_matches(value, {literal(alerts.SENSITIVE_PATH)}) ELSE true END)"""
+
+
+@query(f"WITH {_ALERT} SELECT id, source, host, received_at, payload FROM a")
+def alerts_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.normalised(table(spark, d, "runtime_observations"))
+
+
+def _iocs(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.indicators(alerts.normalised(table(spark, d, "runtime_observations")))
+
+
+@query(f"WITH {_IOC} SELECT * FROM i")
+def alert_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return _iocs(spark, d)
+
+
+_ACCUMULATED = f"""{_IOC}, g AS (SELECT type, value, count(DISTINCT id) AS observations, count(DISTINCT package) AS packages, min(received_at) AS first_seen,
+    max(received_at) AS last_seen, max(confidence) AS c FROM i JOIN a USING (id) GROUP BY 1, 2),
+s AS (SELECT * EXCLUDE (c), round(greatest(c, 0.5, CASE WHEN observations >= 5 THEN 0.85 WHEN observations >= 3 THEN 0.75 ELSE 0 END,
+    CASE WHEN packages >= 3 THEN 0.95 WHEN packages >= 2 THEN 0.9 ELSE 0 END), 4) AS confidence FROM g),
+z AS (SELECT *, confidence >= 0.9 OR packages >= 2 AS promoted FROM s)"""
+
+
+def _accumulated(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "runtime_observations")
+    who = o.select("id", "package", alerts.received(F.col("received_at")).alias("received_at")).dropDuplicates(["id"])
+    return alerts.accumulated(_iocs(spark, d), who)
+
+
+@query(f"WITH {_ACCUMULATED} SELECT * FROM z")
+def indicators_accumulated(spark: SparkSession, d: str) -> DataFrame:
+    return _accumulated(spark, d)
+
+
+@query(f"""WITH {_ACCUMULATED} SELECT * FROM z WHERE last_seen >= TIMESTAMP '2025-04-01 00:00:00' AND confidence >= 0.5
+ORDER BY confidence DESC, observations DESC, type, value LIMIT 100""")
+def indicators_since(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.since(_accumulated(spark, d), F.lit("2025-04-01 00:00:00").cast("timestamp_ntz"))
+
+
+# votes and metrics
+
+
+@query("""WITH v AS (SELECT o_orderkey, unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'malicious' WHEN o_orderkey % 5 = 0 THEN 'suspicious' ELSE 'benign' END,
+    CASE WHEN o_totalprice > 200000 THEN 'malicious' WHEN o_totalprice > 100000 THEN 'suspicious' ELSE 'benign' END,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'malicious' WHEN '2-HIGH' THEN 'suspicious' ELSE 'benign' END]) AS vote FROM orders),
+g AS (SELECT o_orderkey, count(*) FILTER (vote = 'malicious') AS malicious, count(*) FILTER (vote = 'suspicious') AS suspicious, count(*) FILTER (vote = 'benign') AS benign FROM v GROUP BY 1)
+SELECT *, CASE WHEN malicious >= 2 OR malicious >= 1 AND suspicious >= 1 THEN 'malicious' WHEN malicious + suspicious >= 2 OR malicious >= 1 THEN 'suspicious' ELSE 'benign' END AS verdict,
+    round(greatest(malicious, suspicious, benign) / (malicious + suspicious + benign), 3) AS agreement FROM g""")
+def consensus_votes(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    key, price, level = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderpriority")
+    votes = o.select(
+        "o_orderkey",
+        F.explode(
+            F.array(
+                F.when(key % 3 == 0, "malicious").when(key % 5 == 0, "suspicious").otherwise("benign"),
+                F.when(price > 200000, "malicious").when(price > 100000, "suspicious").otherwise("benign"),
+                F.when(level == "1-URGENT", "malicious").when(level == "2-HIGH", "suspicious").otherwise("benign"),
+            )
+        ).alias("vote"),
+    )
+    return evidence.consensus(votes, "o_orderkey")
+
+
+_LOW = "(tp / (tp + fn) + 1.96 * 1.96 / (2 * (tp + fn))) / (1 + 1.96 * 1.96 / (tp + fn))"
+_HALF = "1.96 * sqrt((tp / (tp + fn) * (1 - tp / (tp + fn)) + 1.96 * 1.96 / (4 * (tp + fn))) / (tp + fn)) / (1 + 1.96 * 1.96 / (tp + fn))"
+
+
+@query(f"""WITH r AS (SELECT l_shipdate IS NOT NULL AND l_quantity > 25 AS p, l_returnflag = 'R' AS e, l_linestatus FROM lineitem),
+g AS (SELECT l_linestatus, count(*) FILTER (p AND e) AS tp, count(*) FILTER (p AND NOT e) AS fp, count(*) FILTER (NOT p AND e) AS fn, count(*) FILTER (NOT p AND NOT e) AS tn
+      FROM r GROUP BY ROLLUP (l_linestatus))
+SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 6) END AS recall,
+    CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+    CASE WHEN tp + fn = 0 THEN 0 ELSE round(greatest(0, {_LOW} - {_HALF}), 6) END AS recall_low, CASE WHEN tp + fn = 0 THEN 0 ELSE round(least(1, {_LOW} + {_HALF}), 6) END AS recall_high FROM g""")
+def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    results = li.select("l_linestatus", (F.col("l_shipdate").isNotNull() & (F.col("l_quantity") > 25)).alias("predicted"), (F.col("l_returnflag") == "R").alias("expected"))
+    return evidence.confusion(results, "l_linestatus")
+
+
+@query("""WITH r AS (SELECT ecosystem, id, row_number() OVER (PARTITION BY ecosystem ORDER BY md5(CAST(id AS VARCHAR)), id) AS place FROM scan_queue)
+SELECT * FROM r WHERE place <= CASE ecosystem WHEN 'PyPI' THEN 30 WHEN 'npm' THEN 40 ELSE 0 END""")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.stratified(table(spark, d, "scan_queue").select("ecosystem", "id"), "ecosystem", "id", {"PyPI": 30, "npm": 40})
+
+
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS similarity FROM q, embeddings e WHERE q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id) AS place FROM s)
+SELECT * FROM r WHERE place <= 3""")
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.nearest(e, e.where("vec_id % 100 = 0"), 3)
+
+
+# integrity
+
+
+@query()
+def merkle_roots(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.merkle_roots(table(spark, d, "source_files"), ["ecosystem", "package", "version"], "path", "content")
+
+
+@query()
+def rows_signed(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "known_malicious").select("advisory_id", "ecosystem", "package", "attack_type")
+    return integrity.signed(rows, ["advisory_id", "ecosystem", "package", "attack_type"], b"row key")
