@@ -7,8 +7,9 @@ Forest. Each representative has TREES paths of DEPTH MinHash labels. A path sort
 that share a prefix of d labels are candidates with probability s**d per tree. The search begins with the subtries at
 BASE labels, the longest prefix whose recall over all trees, 1 - (1 - s**BASE)**TREES, reaches RECALL at the threshold.
 Where such a subtrie holds more than BUCKET files, its files are judged by longer prefixes, label by label, until the
-subtries are small; files whose recall that lowers below RECALL get further trees, and what is left after ROUNDS of
-trees is compared in full in its BASE subtries, in blocks, so that no candidate is given up. A subtrie that is still
+subtries are small. Partners of such a file may only meet in its large subtries, so its recall is reckoned from the longer
+prefixes alone; where it stays below RECALL the file gets further trees, and what is left after ROUNDS of trees is
+compared in full in its BASE subtries, in blocks, so that no candidate is given up. A subtrie that is still
 large at DEPTH holds files that agree in all labels; it is compared in full as well, as nearly all its pairs are results.
 Hot subtries are found by counting (combined map-side), so no task ever collects more than BUCKET files of one, and a
 block comparison is spread over block pairs.
@@ -117,7 +118,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     all_paths = _paths(ROUNDS)
     left, first_hot = reps, None
     missing = math.log(1 - RECALL) + 1e-9
-    losses = None  # (doc, loss): log of the chance to miss a partner at the threshold, so far
+    losses = None  # (doc, loss): log of the chance to miss a partner that only large subtries hold, so far
     for turn in range(ROUNDS):
         rows = _forest(left, all_paths[turn])
         hot = cut(_hot(rows, BASE))
@@ -129,7 +130,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         if first_hot is None:
             first_hot = judged.where("count IS NOT NULL").select("key", "count", "doc")
         found.append(_bucket_pairs(judged.where("count IS NULL").select("key", "doc")))
-        depths = [judged.where("count IS NULL").select("doc", F.lit(BASE).alias("depth"))]
+        depths = []
         deep = cut(judged.where("count IS NOT NULL").select("tree", "path", "doc"))
         for depth in range(BASE + 1, DEPTH + 1):
             hot = cut(_hot(deep, depth))
@@ -147,9 +148,12 @@ def candidates(reps: DataFrame) -> DataFrame:
         now = depths[0]
         for more in depths[1:]:
             now = now.unionByName(more)
+        # a file without a large subtrie in this round has had a full search by it
         now = now.groupBy("doc").agg(loss)
-        losses = now if losses is None else losses.unionByName(now).groupBy("doc").agg(F.sum("loss").alias("loss"))
-        losses = cut(losses)
+        if losses is not None:
+            now = now.join(losses.withColumnRenamed("loss", "before"), "doc", "left")
+            now = now.select("doc", (F.col("loss") + F.coalesce("before", F.lit(0.0))).alias("loss"))
+        losses = cut(now)
         short = losses.where(F.col("loss") > missing).select("doc")
         if short.isEmpty():
             return _distinct(found)
