@@ -53,6 +53,11 @@ def python_calls(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
                 alias, found = {}, []
+
+                def resolved(node) -> str | None:
+                    first, _, rest = (dotted(node) or "").partition(".")
+                    return alias.get(first, first) + ("." + rest if rest else "")  # noqa: B023
+
                 stack = [tree]
                 while stack:
                     node = stack.pop()
@@ -60,12 +65,10 @@ def python_calls(files: DataFrame) -> DataFrame:
                         alias.update({a.asname or a.name.split(".")[0]: a.name if a.asname else a.name.split(".")[0] for a in node.names})
                     elif isinstance(node, ast.ImportFrom) and node.module and not node.level:
                         alias.update({a.asname or a.name: f"{node.module}.{a.name}" for a in node.names})
-                    elif isinstance(node, ast.Call) and (name := dotted(node.func)):
-                        first, _, rest = name.partition(".")
-                        name = alias.get(first, first) + ("." + rest if rest else "")
+                    elif isinstance(node, ast.Call) and (name := resolved(node.func)):
                         if d := dimension(name):
                             found.append((name, node.lineno, d))
-                    elif isinstance(node, ast.Subscript) and dotted(node.value) == "os.environ":
+                    elif isinstance(node, ast.Subscript) and resolved(node.value) == "os.environ":
                         found.append(("os.environ.__getitem__", node.lineno, "I"))
                     stack.extend(reversed(list(ast.iter_child_nodes(node))))
                 out += [(key, k, *f) for k, f in enumerate(found)]
