@@ -67,6 +67,30 @@ def javascript_imports(files: DataFrame) -> DataFrame:
     return rows.select(*OWNER, "path", name.alias("module")).where((F.col("module") != "") & ~F.col("module").isin(*NODE_BUILTINS)).distinct()
 
 
+#: Endings that a relative import is tried with, in order.
+PROBES = ("", ".js", ".mjs", ".cjs", ".ts", "/index.js", "/index.mjs", "/index.cjs")
+
+
+def resolved_imports(files: DataFrame) -> DataFrame:
+    """(…, path, spec, target): relative imports of JavaScript files with the file of the same version that they name,
+    the first of PROBES that exists. Each import becomes its few candidates, so this is an equality join on the path."""
+    patterns = [
+        r"(?m)^\s*import\s+(?:[\w*{}\s,$]+\s+from\s+)?['\"](\.[^'\"]*)['\"]", r"\brequire\s*\(\s*['\"](\.[^'\"]*)['\"]\s*\)",
+        r"\bimport\s*\(\s*['\"](\.[^'\"]*)['\"]\s*\)", r"(?m)^\s*export\s+[\w*{}\s,$]+\s+from\s+['\"](\.[^'\"]*)['\"]",
+    ]
+    js = files.where((F.lower(F.trim("language")) == "javascript") & F.col("content").isNotNull())
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns]))
+    rows = js.select(*OWNER, "path", F.explode(found).alias("spec")).distinct()
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    stem = F.when(F.col("spec").startswith("./"), F.concat(folder, F.substring(F.col("spec"), 3, 4000))).when(
+        F.col("spec").startswith("../"), F.concat(F.regexp_replace(folder, r"[^/]*/$", ""), F.substring(F.col("spec"), 4, 4000))
+    )
+    tried = rows.select(*OWNER, "path", "spec", F.posexplode(F.transform(F.array(*map(F.lit, PROBES)), lambda p: F.concat(stem, p))).alias("place", "target"))
+    there = files.select(*OWNER, F.col("path").alias("target")).distinct()
+    hits = tried.join(there, [*OWNER, "target"])
+    return hits.groupBy(*OWNER, "path", "spec").agg(F.min_by("target", "place").alias("target"))
+
+
 def python_imports(files: DataFrame) -> DataFrame:
     """(…, path, module): top-level names of absolute imports outside the standard library, from the syntax tree; a
     file that does not parse gives none."""

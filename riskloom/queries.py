@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from riskloom.catalogs import BEHAVIOR_RULES, DECISIVE_PREFIXES, JAVASCRIPT_CALLS, LINE_PATTERNS, NODE_BUILTINS, SEQUENCES, SEVERITY, WEAK_CODES, calls_of
 from riskloom.operators import (
-    alerts, behavior, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, nested_records, tables, vectors, versions,
+    alerts, behavior, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, nested_records, tables, taint, vectors, versions,
 )
+from riskloom.plans import exports
 from riskloom.runtime import table
+from riskloom.sources import traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -344,6 +346,20 @@ def imports_javascript(spark: SparkSession, d: str) -> DataFrame:
     return files.javascript_imports(table(spark, d, "source_files"))
 
 
+
+
+@query(f"""WITH f AS (SELECT DISTINCT ecosystem, package, version, path, content FROM source_files WHERE lower(trim(language)) = 'javascript' AND content IS NOT NULL),
+m AS (SELECT DISTINCT ecosystem, package, version, path, unnest(list_concat({", ".join(f"regexp_extract_all(content, {literal(p)}, 1)" for p in _IMPORTS)})) AS spec FROM f),
+b AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS folder FROM m),
+j AS (SELECT *, CASE WHEN starts_with(spec, './') THEN folder || substr(spec, 3) WHEN starts_with(spec, '../') THEN regexp_replace(folder, '[^/]*/$', '') || substr(spec, 4) END AS stem FROM b),
+c AS (SELECT j.*, k.place, stem || k.tail AS target FROM j, (VALUES {", ".join(f"({k}, '{t}')" for k, t in enumerate(files.PROBES))}) k(place, tail)),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY c.ecosystem, c.package, c.version, c.path, c.spec ORDER BY place) AS rn FROM c
+      JOIN (SELECT DISTINCT ecosystem, package, version, path AS target FROM source_files) t USING (ecosystem, package, version, target))
+SELECT ecosystem, package, version, path, spec, target FROM r WHERE rn = 1""")
+def imports_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return files.resolved_imports(table(spark, d, "source_files"))
+
+
 @query()
 def imports_python(spark: SparkSession, d: str) -> DataFrame:
     return files.python_imports(table(spark, d, "source_files"))
@@ -652,3 +668,102 @@ def merkle_roots(spark: SparkSession, d: str) -> DataFrame:
 def rows_signed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "known_malicious").select("advisory_id", "ecosystem", "package", "attack_type")
     return integrity.signed(rows, ["advisory_id", "ecosystem", "package", "attack_type"], b"row key")
+
+
+# layers, flows, exports
+
+
+@query()
+def decoded_layers(spark: SparkSession, d: str) -> DataFrame:
+    return deobfuscation.decoded_layers(table(spark, d, "source_files").dropDuplicates(["file_id"]), "file_id", "content")
+
+
+@query()
+def taint_flows(spark: SparkSession, d: str) -> DataFrame:
+    return taint.flows(table(spark, d, "source_files"))
+
+
+@query()
+def taint_cross_file(spark: SparkSession, d: str) -> DataFrame:
+    return taint.cross_file_flows(table(spark, d, "source_files"))
+
+
+def _advisory_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    a = advisory_versions(spark, d).groupBy("ecosystem", "package", "version").agg(F.max(F.col("match_kind") == "exact").alias("exact"))
+    return a.select("ecosystem", "package", "version", F.when(F.col("exact"), "MALICIOUS").otherwise("SUSPICIOUS").alias("verdict"))
+
+
+_VERDICTS = f"""v AS (SELECT ecosystem, package, version, CASE WHEN bool_or(match_kind = 'exact') THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS verdict
+    FROM ({_SQL["advisory_versions"]}) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_VERDICTS} SELECT ecosystem, package, version,
+    substr(regexp_replace(regexp_replace(lower(ecosystem || '-' || package || '-' || version), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64) AS rule_name,
+    CASE verdict WHEN 'MALICIOUS' THEN 'deny' ELSE 'warn' END AS action,
+    'package.name == "' || package || '" && package.version == "' || version || '"' AS expression FROM v""")
+def export_policies(spark: SparkSession, d: str) -> DataFrame:
+    return exports.policies(_advisory_verdicts(spark, d))
+
+
+@query()
+def export_stix(spark: SparkSession, d: str) -> DataFrame:
+    return exports.stix_bundles(_advisory_verdicts(spark, d))
+
+
+@query()
+def export_falco(spark: SparkSession, d: str) -> DataFrame:
+    return exports.falco_rules(_iocs(spark, d), "id")
+
+
+@query()
+def export_osv(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "runtime_observations").select("id", "ecosystem", "package", "version").dropDuplicates(["id"])
+    return exports.osv_advisories(_iocs(spark, d).join(o.where("package IS NOT NULL AND ecosystem IS NOT NULL"), "id"))
+
+
+@query()
+def export_vex(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "runtime_observations").select("id", "ecosystem", "package", "version").dropDuplicates(["id"])
+    e = indicator_evidence(spark, d).join(o.where("package IS NOT NULL"), "id")
+    return exports.vex_documents(e.withColumnRenamed("verdict", "review"))
+
+
+# reports and registers
+
+
+@query(f"""WITH a AS (SELECT DISTINCT ON (id) id, CASE WHEN json_valid(raw_event) THEN CASE WHEN starts_with(raw_event, '"') THEN json_extract_string(raw_event, '$') ELSE raw_event END END AS p FROM runtime_observations)
+SELECT id, unnest(list_sort(list_distinct(regexp_extract_all(p, '"Path": ?"(/(?:home|root|etc)/[^"]+)"', 1)))) AS path FROM a""")
+def analysis_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths below home, root and etc in dynamic-analysis documents, whatever wraps them."""
+    p = alerts.normalised(table(spark, d, "runtime_observations"))
+    raw = table(spark, d, "runtime_observations").select("id", "raw_event").dropDuplicates(["id"]).where(F.expr("try_parse_json(raw_event)").isNotNull())
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("payload", F.lit(r'"Path": ?"(/(?:home|root|etc)/[^"]+)"'), F.lit(1))))
+    return p.join(raw.select("id"), "id", "left_semi").select("id", F.explode(found).alias("path"))
+
+
+@query()
+def analysis_observed(spark: SparkSession, d: str) -> DataFrame:
+    p = alerts.normalised(table(spark, d, "runtime_observations")).where("source = 'manual'")
+    o = traces.observed(p, "id", "payload")
+    return o.select("id", *[F.array_join(c, "|").alias(c) for c in o.columns if c != "id"])
+
+
+# star schema
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price, count(*) AS rows_
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where("l_shipdate <= '1998-09-02'")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 2).alias("avg_price"), F.count("*").alias("rows_")
+    )
+
+
+@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1""")
+def regional_revenue(spark: SparkSession, d: str) -> DataFrame:
+    li, o, c, n, r = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    j = j.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r.where("r_name = 'ASIA'"), n["n_regionkey"] == r["r_regionkey"])
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
