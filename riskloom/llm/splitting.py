@@ -27,6 +27,8 @@ from riskloom.llm.byte_bpe import broadcast_ranks, encoder
 LIMIT, OVERLAP = 2048, 64
 UNIT_TOKENS, UNIT_CHARS = 256, 16
 _HEADING = re.compile(r"#{1,6}[ \t]|={3,}|-{3,}[ \t]*(?:\n|$)|\[[^\]\n]{1,80}\][ \t]*(?:\n|$)|[^\n]{1,120}\n[=-]{3,}[ \t]*(?:\n|$)")
+#: Signs that end a clause in scripts that are written without blanks.
+STOPS = tuple("。、！？，；：」』）")
 _BREAK = re.compile(r"\n[ \t]*\n[ \t\n]*$")
 
 
@@ -50,7 +52,7 @@ def boundary(text: str, end: int) -> str:
         if _HEADING.match(after):
             return "S"
         return "P" if _BREAK.search(before) else "N"
-    if before[-1:].isspace() or after[:1].isspace():
+    if before[-1:].isspace() or after[:1].isspace() or before[-1:] in STOPS:
         return "W"
     return "C"
 
