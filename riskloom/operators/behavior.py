@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.catalogs import BEHAVIOR_RULES, JAVASCRIPT_CALLS, PYTHON_CALLS, SEQUENCES, calls_of
@@ -95,15 +95,26 @@ def javascript_calls(files: DataFrame) -> DataFrame:
     return found.withColumn("dimension", names[F.col("name")])
 
 
-def letters(events: DataFrame, key: str, order: list[str], letter: Column) -> DataFrame:
-    """(key, trace): the letters of a key's events in order."""
-    rows = events.select(key, F.struct(*order, letter.alias("_letter")).alias("e")).where(F.col("e._letter").isNotNull())
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["_letter"]), "").alias("trace"))
+#: Letters per chunk of a trace, and how many more a chunk sees; no pattern takes more than 21 letters.
+CHUNK, AHEAD = 4096, 24
 
 
-def mined(traces: DataFrame, key: str) -> DataFrame:
-    """(key, pattern, severity, start, matched): the first place of each sequence pattern, once per trace. The slots of
-    a pattern take different letters, so greedy matching equals filling slot after slot."""
+def traces(events: DataFrame, key: str, order: list[str], letter: Column) -> DataFrame:
+    """(key, chunk, trace): the letters of a key's events in order, in chunks that overlap by AHEAD letters, so that a key
+    with any number of events is never gathered in one row."""
+    rows = events.select(key, *order, letter.alias("_letter")).where(F.col("_letter").isNotNull())
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    placed = rows.select(key, at.alias("at"), "_letter")
+    own = F.floor(F.col("at") / CHUNK).cast("int")
+    seen = F.array_compact(F.array(own, F.when((F.col("at") % CHUNK < AHEAD) & (F.col("at") >= CHUNK), own - 1)))
+    parts = placed.select(key, "at", "_letter", F.explode(seen).alias("chunk"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_letter"))), lambda e: e["_letter"]), "")
+    return parts.groupBy(key, "chunk").agg(text.alias("trace"))
+
+
+def mined(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, pattern, severity, start, matched): the first place of each sequence pattern, once per key. The slots of a
+    pattern take different letters, so greedy matching equals filling slot after slot."""
     tests = [
         F.when(
             F.col("trace").rlike(p),
@@ -114,7 +125,10 @@ def mined(traces: DataFrame, key: str) -> DataFrame:
         )
         for code, level, p in SEQUENCES
     ]
-    return traces.select(key, F.explode(F.array_compact(F.array(*tests))).alias("m")).select(key, "m.*")
+    hits = chunks.select(key, "chunk", F.explode(F.array_compact(F.array(*tests))).alias("m")).where(F.col("m.start") < CHUNK)
+    place = F.struct((F.col("chunk") * CHUNK + F.col("m.start")).alias("start"), F.col("m.matched").alias("matched"))
+    first = hits.groupBy(key, "m.pattern", "m.severity").agg(F.min(place).alias("f"))
+    return first.select(key, "pattern", "severity", "f.start", "f.matched")
 
 
 def ruled(sets: DataFrame, key: str, letters_column: str) -> DataFrame:

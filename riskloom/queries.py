@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.catalogs import BEHAVIOR_RULES, DECISIVE_PREFIXES, JAVASCRIPT_CALLS, LINE_PATTERNS, NODE_BUILTINS, SEQUENCES, SEVERITY, WEAK_CODES, calls_of
 from riskloom.operators import (
-    alerts, behavior, changes, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, nested_records, tables, taint, vectors, versions,
+    alerts, behavior, capabilities, changes, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, metadata,
+    nested_records, tables, taint, vectors, versions,
 )
 from riskloom.plans import assessment, exports
 from riskloom.runtime import table
@@ -495,7 +496,7 @@ _TRACE = """t AS (SELECT user_id, string_agg(x, '' ORDER BY ts, event_id) AS tra
 
 
 def _traces(spark: SparkSession, d: str) -> DataFrame:
-    return behavior.letters(table(spark, d, "events"), "user_id", ["ts", "event_id"], _letter())
+    return behavior.traces(table(spark, d, "events"), "user_id", ["ts", "event_id"], _letter())
 
 
 @query(
@@ -848,3 +849,59 @@ def cache_reasons(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def package_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return assessment.assessed(*(table(spark, d, t) for t in ("scan_queue", "source_files", "known_malicious", "known_popular")))
+
+
+# capabilities and metadata
+
+
+def _capability_sql(language: str, patterns: dict[str, str]) -> str:
+    patterns = patterns | {"credential-paths": capabilities.CREDENTIAL_PATHS}
+    return "\nUNION ALL ".join(
+        f"SELECT file_id, ecosystem, package, version, '{name}' AS capability FROM f WHERE l = '{language}' AND regexp_matches(content, {literal(p)})" for name, p in patterns.items()
+    )
+
+
+_CAPABLE = f"""f AS (SELECT DISTINCT ON (file_id) *, lower(trim(language)) AS l FROM source_files WHERE content IS NOT NULL),
+cap AS ({_capability_sql("python", capabilities.PYTHON)}
+UNION ALL {_capability_sql("javascript", capabilities.JAVASCRIPT)})"""
+
+
+@query(f"WITH {_CAPABLE} SELECT * FROM cap")
+def capabilities_of_files(spark: SparkSession, d: str) -> DataFrame:
+    return capabilities.file_capabilities(table(spark, d, "source_files"))
+
+
+@query(f"""WITH {_CAPABLE}, k(capability, classes) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in capabilities.CLASSES.items())}),
+x AS (SELECT ecosystem, package, version, string_agg(DISTINCT capability, ',' ORDER BY capability) AS capabilities, string_agg(DISTINCT classes, '') AS all_ FROM cap JOIN k USING (capability) GROUP BY ALL),
+y AS (SELECT * EXCLUDE (all_), CASE WHEN contains(all_, 'A') THEN 'A' ELSE '' END || CASE WHEN contains(all_, 'B') THEN 'B' ELSE '' END || CASE WHEN contains(all_, 'C') THEN 'C' ELSE '' END AS classes FROM x)
+SELECT *, classes = 'ABC' AS trifecta FROM y""")
+def capabilities_exposure(spark: SparkSession, d: str) -> DataFrame:
+    return capabilities.exposure(capabilities.file_capabilities(table(spark, d, "source_files")))
+
+
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(t, '{'|'.join(words.split())}') THEN '{name}'" for name, words in metadata.CATEGORIES.items()) + " END"
+
+
+@query(f"SELECT advisory_id, package, {_CATEGORY} AS category FROM (SELECT DISTINCT advisory_id, package, lower(concat_ws(' ', package, summary)) AS t FROM known_malicious)")
+def package_categories(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "known_malicious").select("advisory_id", "package", "summary").distinct()
+    return a.select("advisory_id", "package", metadata.category(F.concat_ws(" ", "package", "summary")).alias("category"))
+
+
+@query(f"SELECT * FROM ({_SQL['scripts_lifecycle']}) WHERE regexp_matches(command, {literal(metadata.DANGEROUS_SCRIPT)})")
+def scripts_dangerous(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.dangerous_scripts(files.lifecycle_scripts(table(spark, d, "source_files")))
+
+
+@query(r"""WITH s AS (SELECT DISTINCT advisory_id, summary, list_filter(regexp_split_to_array(trim(summary), '\s+'), lambda w: w <> '') AS w FROM known_malicious WHERE summary IS NOT NULL)
+SELECT advisory_id, length(summary) AS chars, len(w) AS words, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 4) END AS mean_word FROM s""")
+def description_shapes(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "known_malicious").where("summary IS NOT NULL").select("advisory_id", "summary").distinct()
+    return metadata.description_shape(a, "summary").select("advisory_id", "chars", "words", "mean_word")
+
+
+@query("""WITH v AS (SELECT l_partkey % 100 AS k, l_returnflag AS vote, 'N' AS truth FROM lineitem), c AS (SELECT k, vote, count(*) AS n, max(truth) AS t FROM v GROUP BY ALL)
+SELECT k, CAST(sum(n) AS BIGINT) AS trials, count(*) AS distinct_votes, arg_min(vote, (-n, vote)) AS mode_vote, round(max(n) / sum(n), 4) AS agreement, arg_min(vote, (-n, vote)) = max(t) AS correct FROM c GROUP BY k""")
+def vote_agreement(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select((F.col("l_partkey") % 100).alias("k"), F.col("l_returnflag").alias("vote"), F.lit("N").alias("truth"))
+    return metadata.agreement(li, "k", "vote", "truth")

@@ -220,3 +220,39 @@ def test_change_outcomes(spark):
     new = changes.new_calls(df)
     assert {(r.version, r.before_1, r.name) for r in new.collect()} == {("1.10.0", "1.9.0", "fetch"), ("1.10.0", "1.9.0", "atob")}
     assert [(r.dimensions, r.severity) for r in changes.change_severity(new).collect()] == [("ET", "HIGH")]
+
+
+def test_sequences_cross_chunks(spark, monkeypatch):
+    import random
+    import re
+
+    from riskloom.catalogs import SEQUENCES
+
+    monkeypatch.setattr(behavior, "CHUNK", 30)
+    rng = random.Random(1)
+    texts = {k: "".join(rng.choices("IEXT" if k % 2 else "III E", k=rng.randint(0, 200))) for k in range(40)}
+    rows = [(k, i, c) for k, t in texts.items() for i, c in enumerate(t)]
+    df = spark.createDataFrame(rows, "k int, i int, c string")
+    letter = F.when(F.col("c") != " ", F.col("c"))
+    got = {(r.k, r.pattern): (r.start, r.matched) for r in behavior.mined(behavior.traces(df, "k", ["i"], letter), "k").collect()}
+    expected = {(k, code): (m.start(), m[0]) for k, t in texts.items() for code, _, p in SEQUENCES if (m := re.search(p, t.replace(" ", "")))}
+    assert got == expected and len(expected) > 50
+
+
+def test_capabilities_and_metadata(spark):
+    from riskloom.operators import capabilities, metadata
+
+    schema = "file_id bigint, ecosystem string, package string, version string, language string, content string"
+    rows = [(1, "PyPI", "p", "1", "python", "import os\nos.system(os.environ['A'])\nopen('~/.ssh/id_rsa')\nrequests.get(u)"), (2, "npm", "q", "1", "javascript", "fetch('u')"), (3, "npm", "q", "1", "javascript", None)]
+    found = capabilities.file_capabilities(spark.createDataFrame(rows, schema))
+    got = {r.package: (r.capabilities, r.classes, r.trifecta) for r in capabilities.exposure(found).collect()}
+    assert got == {"p": ("credential-paths,env-secrets,network,shell", "ABC", True), "q": ("network", "AC", False)}
+    declared = spark.createDataFrame([("PyPI", "p", "1", "network"), ("PyPI", "p", "1", "shell")], "ecosystem string, package string, version string, capability string")
+    assert {(r.package, r.capability, r.severity) for r in capabilities.undeclared(found, declared).collect()} == {("p", "credential-paths", "HIGH"), ("p", "env-secrets", "MEDIUM"), ("q", "network", "MEDIUM")}
+    urls = {"https://github.com/a/b.git": "a/b", "git+https://github.com/a/b": "a/b", "git@github.com:a/b.git": "a/b", "https://x.example/a/b": None, "https://github.com/a/b#readme": "a/b"}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.s for r in df.select("u", metadata.repository(F.col("u")).alias("s")).collect()} == urls
+    checks = spark.createDataFrame([("Maintained", 2.0), ("Maintained", -1.0), ("Other", 0.0)], "name string, score double")
+    assert [(r.name, r.score) for r in metadata.weak_checks(checks).collect()] == [("Maintained", 2.0)]
+    scores = spark.createDataFrame([(9.8,), (7.0,), (4.0,), (1.0,), (None,)], "s double")
+    assert [r[0] for r in scores.select(metadata.cvss_severity(F.col("s"))).collect()] == ["CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN"]
