@@ -817,8 +817,8 @@ def observations_newest(spark: SparkSession, d: str) -> DataFrame:
     return changes.newest(rows, ["package"], F.col("received_at"), "id", 3)
 
 
-@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS was, l_linestatus = 'O' AS is_ FROM lineitem)
-SELECT CASE WHEN was = is_ THEN 'same' WHEN is_ THEN 'improved' ELSE 'degraded' END AS outcome, count(*) AS n FROM o GROUP BY 1""")
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS was FROM lineitem), n AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AS is_ FROM lineitem)
+SELECT CASE WHEN was = is_ THEN 'same' WHEN is_ THEN 'improved' ELSE 'degraded' END AS outcome, count(*) AS n FROM o JOIN n USING (l_orderkey, l_linenumber) GROUP BY 1""")
 def results_compared(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     old = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("v"))
