@@ -11,8 +11,6 @@ import re
 
 #: Remembered shapes and tokens per worker before the memory starts anew.
 MEMORY = 200_000
-#: Errors kept for one file; the count goes on.
-SHOWN = 20
 
 
 class Refused(Exception):
@@ -25,3 +23,17 @@ class Refused(Exception):
 
 def line_of(text: str, offset: int) -> int:
     return len(re.findall(r"\r\n|\r|\n", text[:offset])) + 1
+
+
+class Lines:
+    """Line numbers of offsets into a text with `\n` ends; rising offsets cost one pass over the text together."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.line = text, 0, 1
+
+    def of(self, offset: int) -> int:
+        if offset < self.at:
+            self.at, self.line = 0, 1
+        self.line += self.text.count("\n", self.at, offset)
+        self.at = offset
+        return self.line

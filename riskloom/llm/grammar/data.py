@@ -7,7 +7,7 @@ import configparser
 import re
 import tomllib
 
-from riskloom.llm.grammar import SHOWN, Refused
+from riskloom.llm.grammar import Lines, Refused
 
 _JSON = re.compile(
     r'[ \t\n\r]*([{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
@@ -22,10 +22,10 @@ def json_errors(text: str) -> list[tuple[int, str]]:
     next `,` or closing bracket."""
     errors: list[tuple[int, str]] = []
     stack: list[str] = []
-    want, at, line = "value", 0, 1
+    want, at, lines = "value", 0, Lines(text)
 
     def error(message: str) -> None:
-        errors.append((text.count("\n", 0, at) + 1, message))
+        errors.append((lines.of(at), message))
 
     recovering = False
     while True:
@@ -85,8 +85,6 @@ def json_errors(text: str) -> list[tuple[int, str]]:
         else:
             error("expected ',' or a closing bracket")
             recovering = True
-        if len(errors) >= 10 * SHOWN:
-            break
     if not errors and (want != "after" or stack):
         error("unexpected end" if text.strip() else "empty text")
     return errors
@@ -197,7 +195,7 @@ class _Toml:
 
 def toml_errors(text: str) -> list[tuple[int, str]]:
     text = text.replace("\r\n", "\n")
-    parser, errors = _Toml(text), []
+    parser, errors, lines = _Toml(text), [], Lines(text)
     while True:
         parser.skip(_TOML_BLANK)
         if parser.i >= len(text):
@@ -205,9 +203,9 @@ def toml_errors(text: str) -> list[tuple[int, str]]:
         try:
             parser.statement()
         except Refused as e:
-            errors.append((text.count("\n", 0, e.at) + 1, e.message))
+            errors.append((lines.of(e.at), e.message))
             parser.i = text.find("\n", max(e.at, parser.i)) + 1
-            if not parser.i or len(errors) >= 10 * SHOWN:
+            if not parser.i:
                 break
     try:
         tomllib.loads(text)

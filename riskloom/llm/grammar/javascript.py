@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import sys
 
-from riskloom.llm.grammar import MEMORY, SHOWN, Refused
+from riskloom.llm.grammar import MEMORY, Lines, Refused
 
 _WORD = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _NUMBER = (
@@ -282,9 +282,6 @@ class Parser:
             except Refused as e:
                 self.context, self.no_in = keep
                 self.errors.append((e.at, e.message))
-                if len(self.errors) > 10 * SHOWN:
-                    self.i = len(self.s) - 1
-                    return
                 self.i = max(start, min(e.at, len(self.s) - 1))
                 while self.s[self.i] not in "\n;\0":
                     self.i += 1
@@ -1106,4 +1103,5 @@ def check(text: str) -> list[tuple[int, str]]:
             offsets.append(place)
     errors = _parse("".join(shape))
     offsets.append(len(text))
-    return sorted({(text.count("\n", 0, offsets[min(at, len(offsets) - 1)]) + 1, m) for at, m in errors})
+    lines = Lines(text)
+    return sorted({(lines.of(offsets[min(at, len(offsets) - 1)]), m) for at, m in sorted(errors)})

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.grammar import SHOWN
-
 LANGUAGES = ("python", "javascript", "json", "toml", "cfg")
+#: Errors that a batch of results is closed at; a file stays whole.
+BATCH_ERRORS = 50_000
 ERROR_SCHEMA = "file_id bigint, errors array<struct<line: int, message: string>>, error_count int"
 
 
@@ -57,32 +57,39 @@ def language_key(df: DataFrame):
 
 
 def syntax_errors(files: DataFrame, id_column: str = "file_id") -> DataFrame:
-    """(file_id, errors, error_count) of each row whose content is invalid in its language; at most SHOWN errors are
-    listed, error_count counts all. The first is the first cause."""
+    """(file_id, errors, error_count) of each row whose content is invalid in its language; all errors are listed, and
+    error_count counts them. The first is the first cause."""
     judged = files.select(
         files[id_column].cast("bigint"), language_key(files).alias("language"), files["content"]
     ).where(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = grammars()
+        kinds = [
+            pa.int64(),
+            pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())])),
+            pa.int32(),
+        ]
+
+        def written(out: list[tuple]) -> pa.RecordBatch:
+            parts = zip(*out) if out else [[]] * 3
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(parts, kinds)], names=["file_id", "errors", "error_count"]
+            )
+
         for batch in batches:
-            out = []
+            out, held = [], 0
             for start in range(0, batch.num_rows, 256):
                 rows = zip(*(c.slice(start, 256).to_pylist() for c in (batch.column(k) for k in range(3))))
                 for key, language, content in rows:
                     errors = check[language](content)
                     if errors:
-                        shown = [{"line": a, "message": b} for a, b in errors[:SHOWN]]
-                        out.append((key, shown, len(errors)))
-            kinds = [
-                pa.int64(),
-                pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())])),
-                pa.int32(),
-            ]
-            parts = zip(*out) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(parts, kinds)], names=["file_id", "errors", "error_count"]
-            )
+                        out.append((key, [{"line": a, "message": b} for a, b in errors], len(errors)))
+                        held += len(errors)
+                        if held >= BATCH_ERRORS:
+                            yield written(out)
+                            out, held = [], 0
+            yield written(out)
 
     return judged.mapInArrow(run, ERROR_SCHEMA)
 

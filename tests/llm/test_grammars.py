@@ -120,3 +120,15 @@ def test_found_files(spark):
     rates = {(r.package, r.language): (r.files, r.invalid, r.accepted) for r in syntax.acceptance(df).collect()}
     assert rates == {("p", "python"): (2, 1, 0.5), ("p", "json"): (1, 1, 0.0), ("q", "cfg"): (1, 1, 0.0), ("q", "javascript"): (1, 0, 1.0)}
     assert syntax.invalid_files(df.limit(0)).count() == 0
+
+
+def test_every_error_is_stored(spark):
+    texts = {
+        "python": "x = = 1\n" * 300, "javascript": "a = ;\n" * 300, "toml": "a = ?\n" * 300, "cfg": "[s]\n" + "=x\n" * 300,
+        "json": "[" + ",\n".join(["x"] * 300) + "]",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.items())), "file_id bigint, v struct<language: string, content: string>").select("file_id", "v.*")
+    got = {r.file_id: r for r in syntax.invalid_files(df).collect()}
+    for k, name in enumerate(texts):
+        first = 2 if name == "cfg" else 1
+        assert [e.line for e in got[k].errors] == list(range(first, first + 300)) and got[k].error_count == 300, name
