@@ -1,6 +1,7 @@
 import base64
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -259,3 +260,31 @@ def test_credentials_held_out_and_redacted(spark):
             json.loads(texts["runtime_observations", k])
             assert not any(s in texts["runtime_observations", k] for s in expected)
     assert credentials.find_credentials(f.limit(0), e.limit(0)).count() == 0
+
+
+def test_credentials_of_any_length_and_place():
+    rng = random.Random(5)
+    secret = lambda n: "".join(rng.choices("abcdefghijkLMNOPQRSTUVW0123456789", k=n - 3)) + "a1Z"
+    long, hexed, name = secret(3000), "".join(rng.choices("0123456789abcdef", k=300)), "x" * 100 + "_password"
+    found = lambda origin, text, language="", path="": {(v, n) for v, _, n in credentials.record_candidates(origin, text, language, path)}
+    for value in (long, hexed):
+        assert (value, "session_token") in found("source_files", f'session_token = "{value}"\n', "python", "a.py")
+        assert (value, "password") in found("runtime_observations", json.dumps({"password": value}))
+        assert (value, "TOKEN") in found("runtime_observations", json.dumps({"c": f"TOKEN={value} run"}))
+        assert not credentials.is_placeholder(value) and credentials.weak_label(value, "assigned", "session_token") == 1
+        for path in ("a.yaml", ".env.production", "a.sh", "a.cfg"):
+            assert (value, "api_token") in found("source_files", f"# x\nexport api_token={value}\n", "unknown", path), path
+    assert (long, name) in found("source_files", f"{name} = '{long}'\n", "javascript", "a.js")
+    assert (long, "token") in found("source_files", f"a:\n  - token: {long}\n", "unknown", "a.yml")
+    assert (long, "token") in found("source_files", f"run --token {long} --x\n", "unknown", "a.sh")
+    assert not found("source_files", "password = getpass1\nf(token=value1234)\n", "python", "a.py")
+    assert not found("source_files", "password = getpass1\nf(token=value1234)\n", "unknown", "a.ts")
+
+
+def test_long_values_are_scored_in_linear_time():
+    value = "A1b/" * 100_000 + "f(x" * 20_000
+    began = time.process_time()
+    found = list(credentials.record_candidates("source_files", f'k = "{value}"\nrun {"a_" * 100_000}\n', "unknown", "a.txt"))
+    assert [v for v, _, _ in found] == [value]
+    credentials.features(value, "assigned", "k", "", credentials.Markov.fit(["abc"])), credentials.weak_label(value, "assigned", "token")
+    assert time.process_time() - began < 5
