@@ -17,9 +17,9 @@ block comparison is spread over block pairs.
 Verification. The sets of candidates only are built again from the contents and intersected, so reported similarities
 are exact (up to collisions of 64-bit hashes).
 
-Copies. near_pairs reports pairs of files; classes of up to COPIES files are expanded into their pairs, a larger class
-links each member to its representative instead and near_groups carries the membership, which loses no link between
-different texts.
+Copies. all_pairs reports every pair of files: classes are expanded whole, in blocks that are spread over tasks.
+near_pairs is a shorter form: classes of up to COPIES files are expanded into their pairs, a larger class links each
+member to its representative instead and near_groups carries the membership.
 
 Defined results: null and empty contents and those with fewer than LEAST runs have no partner; rows that repeat a
 file_id count once; contents of any length are processed whole; an empty table gives an empty result; other columns are
@@ -44,6 +44,8 @@ THRESHOLD, LEAST = 0.6, 30
 TREES, DEPTH, RECALL = 32, 8, 0.999
 BASE = max(d for d in range(1, DEPTH) if 1 - (1 - THRESHOLD**d) ** TREES >= RECALL)
 BUCKET, ROUNDS, COPIES = 64, 3, 1000
+#: Members of a class that a task joins with at once where all pairs are expanded.
+BLOCK = 500
 
 
 def _paths(rounds: int) -> np.ndarray:
@@ -216,8 +218,33 @@ def near_duplicates(files: DataFrame, id_column: str = "file_id") -> tuple[DataF
     return cut(links), cut(members)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(file_a, file_b, similarity) of pairs (doc_a, doc_b, similarity), file_a < file_b."""
+    return pairs.select(
+        F.least("doc_a", "doc_b").alias("file_a"), F.greatest("doc_a", "doc_b").alias("file_b"), F.round("similarity", 6).alias("similarity")
+    )
+
+
+def all_pairs(files: DataFrame, id_column: str = "file_id") -> DataFrame:
+    """(file_a, file_b, similarity), file_a < file_b: every pair, whatever the size of its classes."""
+    links, members = near_duplicates(files, id_column)
+    sizes = members.groupBy("rep").count()
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    placed = cut(members.join(sizes, "rep").select("doc", "rep", "count", F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block")))
+    among = _block_pairs(placed.where("count > 1").select(F.col("rep").alias("key"), "count", "doc"))
+    among = among.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(1.0).alias("similarity"))
+    across = links
+    for side in ("a", "b"):
+        ends = sizes.select(F.col("rep").alias(side), F.sequence(F.lit(0), blocks - 1).alias("all"))
+        across = across.join(ends, side).withColumn(f"block_{side}", F.explode("all")).drop("all")
+    for side in ("a", "b"):
+        those = placed.select(F.col("rep").alias(side), F.col("block").alias(f"block_{side}"), F.col("doc").alias(f"doc_{side}"))
+        across = across.join(those, [side, f"block_{side}"])
+    return _ordered(across.select("doc_a", "doc_b", "similarity").unionByName(among))
+
+
 def near_pairs(files: DataFrame, id_column: str = "file_id") -> DataFrame:
-    """(file_a, file_b, similarity), file_a < file_b."""
+    """(file_a, file_b, similarity), file_a < file_b; a class of more than COPIES files by its representative only."""
     links, members = near_duplicates(files, id_column)
     a = members.select(F.col("doc").alias("doc_a"), F.col("rep").alias("a"))
     b = members.select(F.col("doc").alias("doc_b"), F.col("rep").alias("b"))
@@ -235,10 +262,7 @@ def near_pairs(files: DataFrame, id_column: str = "file_id") -> DataFrame:
     x = copies.join(large, "rep", "left_anti")
     among = x.select("rep", F.col("doc").alias("doc_a")).join(x.select("rep", F.col("doc").alias("doc_b")), "rep")
     among = among.where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("similarity"))
-    pairs = across.unionByName(to_rep).unionByName(among)
-    return pairs.select(
-        F.least("doc_a", "doc_b").alias("file_a"), F.greatest("doc_a", "doc_b").alias("file_b"), F.round("similarity", 6).alias("similarity")
-    )
+    return _ordered(across.unionByName(to_rep).unionByName(among))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def p2_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_pairs(table(spark, sf_dir, "source_files")).select("file_a", "file_b")
+    return near_duplicates.all_pairs(table(spark, sf_dir, "source_files")).select("file_a", "file_b")
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,24 @@ def test_near_pairs_agree_with_brute_force(spark, monkeypatch):
     assert fewer < expected and {x for p in fewer for x in p} == {x for p in expected for x in p}
 
 
+def test_found_pairs_have_all_pairs_of_large_classes(spark, tmp_path, monkeypatch):
+    from riskloom.llm import queries
+
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    near, sizes = words[:50] + [f"v{k}" for k in range(10)], (1100, 3)
+    texts = [("," * (k % 7 + 1)).join(words) for k in range(sizes[0])] + [";".join(near)] * sizes[1]
+    spark.createDataFrame(list(enumerate(texts)), "file_id bigint, content string").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = queries.p5_found(spark, str(tmp_path))
+    n = sum(sizes)
+    assert got.count() == n * (n - 1) // 2 == got.where("file_a < file_b").distinct().count()
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2)
+    rows = variants("a", 5, rng) * 3 + variants("b", 2, rng)
+    df = spark.createDataFrame(list(enumerate(rows)), "file_id bigint, content string")
+    pairs = lambda d: sorted(map(tuple, d.collect()))
+    assert pairs(near_duplicates.all_pairs(df)) == pairs(near_duplicates.near_pairs(df)) != []
+
+
 def test_groups(spark):
     rng = random.Random(9)
     texts = variants("a", 4, rng) + variants("b", 1, rng) + [None]
