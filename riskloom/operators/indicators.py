@@ -92,7 +92,7 @@ def entropy(text: Column) -> Column:
 
 def suspicious_strings(texts: DataFrame, id_column: str, text_column: str, least: int = 16) -> DataFrame:
     """(id, value, chars, entropy): distinct quoted strings of at least `least` characters without blanks."""
-    found = F.regexp_extract_all(F.col(text_column), F.lit(rf"[\"']([A-Za-z0-9+/=_.-]{{{least},200}})[\"']"), F.lit(1))
+    found = F.regexp_extract_all(F.col(text_column), F.lit(rf"[\"']([A-Za-z0-9+/=_.-]{{{least},}})[\"']"), F.lit(1))
     rows = texts.where(F.col(text_column).isNotNull()).select(id_column, F.explode(F.array_distinct(found)).alias("value")).distinct()
     return rows.select(id_column, "value", F.length("value").alias("chars"), F.round(entropy(F.col("value")), 6).alias("entropy"))
 

@@ -256,3 +256,15 @@ def test_capabilities_and_metadata(spark):
     assert [(r.name, r.score) for r in metadata.weak_checks(checks).collect()] == [("Maintained", 2.0)]
     scores = spark.createDataFrame([(9.8,), (7.0,), (4.0,), (1.0,), (None,)], "s double")
     assert [r[0] for r in scores.select(metadata.cvss_severity(F.col("s"))).collect()] == ["CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN"]
+
+
+def test_long_quoted_strings_are_decoded(spark):
+    import base64
+
+    text = "import os; print(os.environ)\n" * 40
+    values = [base64.b64encode(text.encode()).decode(), text.encode().hex()]
+    df = spark.createDataFrame([(k, f"x = '{v}'") for k, v in enumerate(values)], "file_id bigint, content string")
+    found = indicators.decoded_strings(indicators.suspicious_strings(df, "file_id", "content")).collect()
+    assert sorted((r.file_id, r.value, r.chars, r.encoding, r.decoded) for r in found) == [
+        (0, values[0], len(values[0]), "base64", text), (1, values[1], len(values[1]), "hex", text),
+    ]
