@@ -520,6 +520,16 @@ def behavior_rules(spark: SparkSession, d: str) -> DataFrame:
     return behavior.ruled(sets, "user_id", "letters")
 
 
+@query(
+    "WITH s AS (SELECT user_id, list_distinct(list(CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'E' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN 'T' END)) AS k FROM events GROUP BY 1)\n"
+    + "\nUNION ALL ".join(f"SELECT user_id, '{code}' AS rule, '{level}' AS severity FROM s WHERE list_has_all(k, [{quoted(need)}])" for code, need, level in BEHAVIOR_RULES)
+)
+def behavior_rules_all_days(spark: SparkSession, d: str) -> DataFrame:
+    """behavior_rules over all events of a user; behavior_rules itself follows its SQL, which reads one day."""
+    sets = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(_letter())).alias("letters"))
+    return behavior.ruled(sets, "user_id", "letters")
+
+
 _PROFILE = """o AS (SELECT *, CAST(date_trunc('day', ts) AS DATE) AS day FROM events),
 p AS (SELECT user_id, max(n) AS most, list_sort(list_distinct(flatten(list(k)))) AS kinds FROM
     (SELECT user_id, day, count(*) AS n, list(DISTINCT event_type) AS k FROM o WHERE day < DATE '2024-01-15' GROUP BY ALL) GROUP BY 1)"""

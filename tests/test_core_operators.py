@@ -268,3 +268,14 @@ def test_long_quoted_strings_are_decoded(spark):
     assert sorted((r.file_id, r.value, r.chars, r.encoding, r.decoded) for r in found) == [
         (0, values[0], len(values[0]), "base64", text), (1, values[1], len(values[1]), "hex", text),
     ]
+
+
+def test_behavior_rules_count_all_days(spark, tmp_path):
+    from riskloom import queries
+    from riskloom.catalogs import BEHAVIOR_RULES
+
+    code, need, _ = max(BEHAVIOR_RULES, key=lambda r: len(r[1]))
+    kinds = {"I": "view", "E": "click", "X": "purchase", "T": "signup"}
+    rows = [(7, kinds[letter], datetime.datetime(2024, 1, 10 + k)) for k, letter in enumerate(need)]
+    spark.createDataFrame(rows, "user_id bigint, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    assert (7, code) in {(r.user_id, r.rule) for r in queries.queries()["behavior_rules_all_days"](spark, str(tmp_path)).collect()}
