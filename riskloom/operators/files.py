@@ -81,11 +81,19 @@ def resolved_imports(files: DataFrame) -> DataFrame:
     js = files.where((F.lower(F.trim("language")) == "javascript") & F.col("content").isNotNull())
     found = F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns]))
     rows = js.select(*OWNER, "path", F.explode(found).alias("spec")).distinct()
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    stem = F.when(F.col("spec").startswith("./"), F.concat(folder, F.substring(F.col("spec"), 3, 4000))).when(
-        F.col("spec").startswith("../"), F.concat(F.regexp_replace(folder, r"[^/]*/$", ""), F.substring(F.col("spec"), 4, 4000))
-    )
-    tried = rows.select(*OWNER, "path", "spec", F.posexplode(F.transform(F.array(*map(F.lit, PROBES)), lambda p: F.concat(stem, p))).alias("place", "target"))
+    rows = rows.where(F.col("spec").rlike(r"^\.\.?(?:/|$)"))
+
+    def step(done: Column, part: Column) -> Column:
+        # null where the import leads out of the files
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    folder = F.when(F.col("path").contains("/"), F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/")).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("parts", F.aggregate(F.split("spec", "/"), folder, step)).where("parts IS NOT NULL")
+    stem = F.array_join("parts", "/")
+    # an import that ends in a folder has its index files only
+    ending = F.filter(F.array(*map(F.lit, PROBES)), lambda p: p.startswith("/") | ~F.col("spec").rlike(r"(?:^|/)\.{0,2}$"))
+    tried = rows.select(*OWNER, "path", "spec", F.posexplode(F.transform(ending, lambda p: F.regexp_replace(F.concat(stem, p), "^/(?=index)", ""))).alias("place", "target"))
     there = files.select(*OWNER, F.col("path").alias("target")).distinct()
     hits = tried.join(there, [*OWNER, "target"])
     return hits.groupBy(*OWNER, "path", "spec").agg(F.min_by("target", "place").alias("target"))

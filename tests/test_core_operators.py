@@ -279,3 +279,14 @@ def test_behavior_rules_count_all_days(spark, tmp_path):
     rows = [(7, kinds[letter], datetime.datetime(2024, 1, 10 + k)) for k, letter in enumerate(need)]
     spark.createDataFrame(rows, "user_id bigint, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     assert (7, code) in {(r.user_id, r.rule) for r in queries.queries()["behavior_rules_all_days"](spark, str(tmp_path)).collect()}
+
+
+def test_relative_imports_of_any_depth(spark):
+    code = "".join(f"require('{s}');\n" for s in ("../../x", "./../../x.js", ".", "..", "../../../x", "./d", "../../..", "../../../../x", "./", ".x"))
+    paths = ["p/a/b/m.js", "p/x.js", "x.js", "p/a/b/index.js", "p/a/index.mjs", "p/a/b/d/index.cjs", "index.js", "p/a/b/.js"]
+    rows = [("npm", "p", "1", p, "javascript", code if p.endswith("m.js") else "") for p in paths]
+    df = spark.createDataFrame(rows, "ecosystem string, package string, version string, path string, language string, content string")
+    assert {r.spec: r.target for r in files.resolved_imports(df).collect()} == {
+        "../../x": "p/x.js", "./../../x.js": "p/x.js", ".": "p/a/b/index.js", "..": "p/a/index.mjs", "../../../x": "x.js", "./d": "p/a/b/d/index.cjs",
+        "../../..": "index.js", "./": "p/a/b/index.js",
+    }
