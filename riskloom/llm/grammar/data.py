@@ -1,5 +1,5 @@
 """JSON, TOML 1.0 and strict INI texts: descent over tokens, recovery at the next line; the standard library's parsers
-confirm what the grammars of TOML and INI find."""
+alone decide whether TOML and INI are valid, the grammars name the errors of what is refused."""
 
 from __future__ import annotations
 
