@@ -14,6 +14,7 @@ ASCII_WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Words a worker remembers before it starts anew.
 CACHE_ENTRIES = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 class _WordHash(dict):
@@ -53,6 +54,17 @@ def grams(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def spans(word_hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every run of `length` consecutive words at a cost that does not grow with the length."""
+    n = len(word_hashes)
+    if length > n:
+        return np.empty(0, np.uint64)
+    # sum of h[i] * odd**i over the run, moved to the exponent 0
+    powers, inverses = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64) for base in (_ODD, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(word_hashes) * powers[:n], dtype=np.uint64)])
+    return mix((sums[length:] - sums[: n - length + 1]) * inverses[: n - length + 1])
+
+
 def lower_words(text: str) -> list[str]:
     """Unicode words in lower case; only U+0130 changes its extent when lowered, so such texts are split first."""
     if "İ" in text:

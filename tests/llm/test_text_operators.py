@@ -90,6 +90,29 @@ def test_longest_runs_extend_both_ways():
     assert leakage.longest_runs(list("xabcdy"), list("zabcdw"), [(2, 2), (3, 3)]) == (4, 1, 1)
 
 
+def test_longest_runs_of_repeated_texts(spark):
+    rng = random.Random(12)
+    for _ in range(60):
+        doc, item = (rng.choices("abc", k=rng.randint(1, 60)) for _ in range(2))
+        runs = [(n, -i, -j) for i in range(len(doc)) for j in range(len(item)) for n in range(1, 61) if i + n <= len(doc) and doc[i : i + n] == item[j : j + n]]
+        n, i, j = max(runs, default=(0, 0, 0))
+        assert leakage.searched_run(doc, item) == (n, -i, -j)
+    # the same boilerplate thousands of times on both sides neither grows the pair nor hides the longer run behind it
+    doc, item = "w1 w2 w3 " * 8000 + "only here " * 10 + "tail", "w1 w2 w3 " * 500 + "only here " * 10 + "end"
+    d = spark.createDataFrame([(1, doc)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.leaks(d, e).collect()] == [(1, 7, 1520, 22500, 0)]
+
+
+def test_leaks_by_salted_keys(spark, monkeypatch):
+    d = spark.createDataFrame([(k, f"x{k} " + " ".join(f"w{i}" for i in range(k % 3, 15))) for k in range(90)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(k, k + 13))) for k in range(4)], "item_id bigint, text string")
+    found = lambda: sorted(map(tuple, leakage.leaks(d, e).collect()))
+    expected = found()
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 0)
+    assert found() == expected and len(expected) > 100
+
+
 # splitting
 
 
