@@ -3,16 +3,20 @@
 A file is its set of distinct runs of WORDS words; the similarity of two files is that of their sets (intersection over
 union). Files with equal sets form a class, and only a class's representative goes on.
 
-Forest. Each representative has TREES paths of DEPTH MinHash labels. A path sorts the file into a prefix trie; files
-that share a prefix of d labels are candidates with probability s**d per tree. The search begins with the subtries at
-BASE labels, the longest prefix whose recall over all trees, 1 - (1 - s**BASE)**TREES, reaches RECALL at the threshold.
-Where such a subtrie holds more than BUCKET files, its files are judged by longer prefixes, label by label, until the
-subtries are small. Partners of such a file may only meet in its large subtries, so its recall is reckoned from the longer
-prefixes alone; where it stays below RECALL the file gets further trees, and what is left after ROUNDS of trees is
-compared in full in its BASE subtries, in blocks, so that no candidate is given up. A subtrie that is still
-large at DEPTH holds files that agree in all labels; it is compared in full as well, as nearly all its pairs are results.
-Hot subtries are found by counting (combined map-side), so no task ever collects more than BUCKET files of one, and a
-block comparison is spread over block pairs.
+Forest. Each representative has TREES paths of DEPTH MinHash labels, packed into two integers. The paths of a tree are
+sorted, so that its trie's subtries are runs of the sorted paths. Files that share a prefix of d labels are candidates with
+probability s**d per tree. The search scans the sorted runs and takes, for each file and tree, the shortest prefix not
+below BASE whose run has at most BUCKET files; BASE itself is the longest prefix whose recall over all trees,
+1 - (1 - s**BASE)**TREES, reaches RECALL at the threshold. Partners of a file in a dense place may only meet it in its
+dense runs, so its recall is reckoned from those trees alone where the prefix had to stay long; where it stays below
+RECALL the file goes into another round of TREES trees with labels of their own, until all files have reached it (as no prefix is longer than DEPTH
+labels, ROUNDS rounds are enough); a file with few dense trees is done before, as it shares more trees than those with any
+partner. Files that agree in all DEPTH labels and are more than BUCKET are compared
+in full, in blocks, as nearly all their pairs are results.
+
+A scan holds at most BUCKET paths of a run. Runs that are too long for a task are found on a sample of the files and are
+partitioned by longer prefixes from the start, which changes where they are scanned and how long their prefixes are, not
+whether their recall is reached. The forest is made once per round and shuffled once.
 
 Verification. The sets of candidates only are built again from the contents and intersected, so reported similarities
 are exact (up to collisions of 64-bit hashes).
@@ -29,7 +33,7 @@ not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +45,53 @@ from riskloom.llm import shingles as S
 from riskloom.runtime import cut, small_side
 
 THRESHOLD, LEAST = 0.6, 30
-TREES, DEPTH, RECALL = 32, 8, 0.999
+TREES, DEPTH, RECALL = 40, 7, 0.999
 BASE = max(d for d in range(1, DEPTH) if 1 - (1 - THRESHOLD**d) ** TREES >= RECALL)
-BUCKET, ROUNDS, COPIES = 64, 3, 1000
+BUCKET, COPIES = 64, 1000
+#: Dense trees of a file, all with prefixes DEPTH long, that reach RECALL.
+NEEDED = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
+
+
+def _few(trees: int) -> int:
+    """Largest number of shared paths of BASE labels that a partner at the threshold stays below, in so many trees, with
+    probability 1 - RECALL. A file with no more dense trees has no partner that it shares but dense trees with."""
+    p, below = THRESHOLD**BASE, 0.0
+    for k in range(trees + 1):
+        choose = math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1)
+        below += math.exp(choose + k * math.log(p) + (trees - k) * math.log(1 - p))
+        if below > 1 - RECALL:
+            return k - 1
+    return trees
+
+
+#: Rounds after which every file has NEEDED dense trees or few enough.
+ROUNDS = next(r for r in range(1, 1000) if _few(r * TREES) >= NEEDED)
+#: Files of the sample that long runs are looked for in, and paths that one task may get of a run.
+SAMPLE, RUN = 20_000, 50_000
 #: Members of a class that a task joins with at once where all pairs are expanded.
 BLOCK = 500
 
 
-def _paths(rounds: int) -> np.ndarray:
-    """Bins that each tree's path takes its labels from, by round."""
+#: Hashings of the further rounds, so that none of their paths share a label.
+MORE = math.ceil(TREES * DEPTH / S.PER_HASHING)
+
+
+def _paths(turn: int) -> np.ndarray:
+    """Bins that each tree's path takes its labels from. In the first round the first BASE labels of all trees differ, in
+    further rounds, which are for dense places, all labels do."""
     rng = np.random.Generator(np.random.PCG64(7))
-    return np.array([[rng.permutation(S.BINS)[:DEPTH] for _ in range(TREES)] for _ in range(rounds)])
+    if turn:
+        return rng.permutation(MORE * S.PER_HASHING)[: TREES * DEPTH].reshape(TREES, DEPTH)
+    assert TREES * BASE <= S.BINS
+    heads = rng.permutation(S.BINS)[: TREES * BASE].reshape(TREES, BASE)
+    tails = [rng.permutation(np.setdiff1d(np.arange(S.BINS), h))[: DEPTH - BASE] for h in heads]
+    return np.hstack([heads, np.array(tails)])
 
 
-def signatures(files: DataFrame, id_column: str = "file_id", least: int = LEAST) -> DataFrame:
-    """(doc bigint, class binary, labels binary): the set's digest and its MinHash labels, of files with enough runs."""
+def signatures(files: DataFrame, id_column: str = "file_id", least: int = LEAST, turn: int = 0) -> DataFrame:
+    """(doc bigint, class binary, labels binary): the set's digest and its MinHash labels in a round, of files with enough
+    runs."""
+    factors = S.seeds(turn, MORE if turn else S.HASHINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +102,7 @@ def signatures(files: DataFrame, id_column: str = "file_id", least: int = LEAST)
                 for key, text in some:
                     found = S.shingle_set(text)
                     if len(found) >= least:
-                        out.append((key, xxhash.xxh3_128_digest(found.tobytes()), S.signature(found).tobytes()))
+                        out.append((key, xxhash.xxh3_128_digest(found.tobytes()), S.signature(found, factors).tobytes()))
                 columns = zip(*out) if out else [[]] * 3
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))],
@@ -79,29 +115,153 @@ def signatures(files: DataFrame, id_column: str = "file_id", least: int = LEAST)
     return narrow.mapInArrow(run, "doc bigint, class binary, labels binary")
 
 
-def _forest(reps: DataFrame, paths: np.ndarray) -> DataFrame:
-    """(tree int, path binary, doc): one row per representative and tree."""
-    trees = F.array(*[F.array(*[F.lit(int(b)) for b in tree]) for tree in paths])
-    labelled = reps.select("doc", "labels", F.posexplode(trees).alias("tree", "bins"))
-    path = F.aggregate(
-        F.col("bins"), F.lit(b""), lambda done, b: F.concat(done, F.substring(F.col("labels"), b * 2 + 1, F.lit(2)))
-    )
-    return labelled.select("tree", path.alias("path"), "doc")
-
-
-def _key(depth: int):
-    return F.xxhash64("tree", F.lit(depth), F.substring("path", 1, 2 * depth))
+def _forest(reps: DataFrame, turn: int) -> DataFrame:
+    """(key bigint, rest bigint, doc bigint): one row per representative and tree; key is the tree and its first three
+    labels, rest the others, both in the order of the path."""
+    paths = _paths(turn)
+    assert BASE == 3 and DEPTH == 7 and TREES < 1 << 15  # what two integers hold
+    trees = np.arange(TREES, dtype=np.uint64) << np.uint64(48)
 
+    def packed(labels: np.ndarray) -> np.ndarray:
+        out = np.zeros(labels.shape[:-1], np.uint64)
+        for k in range(labels.shape[-1]):
+            out = (out << np.uint64(16)) | labels[..., k]
+        return out
 
-def _hot(rows: DataFrame, depth: int) -> DataFrame:
-    return rows.groupBy(_key(depth).alias("key")).count().where(F.col("count") > BUCKET).select("key", "count")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                docs = batch.column(0).slice(start, 1000).to_numpy(zero_copy_only=False)
+                raw = b"".join(batch.column(1).slice(start, 1000).to_pylist())
+                labels = np.frombuffer(raw, np.uint16).reshape(len(docs), -1).astype(np.uint64)[:, paths]
+                key = (packed(labels[:, :, :BASE]) | trees).ravel()
+                rest = (packed(labels[:, :, BASE:]) ^ np.uint64(1 << 63)).ravel()  # signed order is path order
+                columns = [pa.array(c.view(np.int64)) for c in (key, rest)] + [pa.array(np.repeat(docs, TREES))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "rest", "doc"])
+
+    return reps.select("doc", "labels").mapInArrow(run, "key bigint, rest bigint, doc bigint")
+
+
+def _at(depth: int):
+    """The labels behind BASE up to `depth`."""
+    return F.shiftright("rest", 16 * (DEPTH - depth)) if depth > BASE else F.lit(0).cast("bigint")
+
+
+def _long_runs(reps: DataFrame, turn: int, files: int) -> DataFrame | None:
+    """(key, prefix, depth): prefixes of runs that are estimated to hold more than RUN files."""
+    if files <= RUN:
+        return None
+    share = max(1, files // SAMPLE)
+    some = _forest(reps.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0), turn)
+    found, long_ = None, None
+    for depth in range(BASE, DEPTH + 1):
+        rows = some.select("key", _at(depth).alias("prefix"), "rest")
+        if long_ is not None:
+            rows = some.join(F.broadcast(long_.select("key", F.col("prefix").alias("_above"))), "key").where(F.col("_above") == _at(depth - 1))
+            rows = rows.select("key", _at(depth).alias("prefix"), "rest")
+        # a run of more than RUN files has RUN / share of the sample, so there are at most TREES * SAMPLE * share / RUN runs
+        long_ = cut(rows.groupBy("key", "prefix").count().where(F.col("count") * share > RUN).select("key", "prefix"))
+        if long_.isEmpty():
+            break
+        level = long_.withColumn("depth", F.lit(depth))
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
+class _Scan:
+    """Candidates of one partition of sorted paths, read as a stream; see the module's text."""
+
+    def __init__(self) -> None:
+        empty = np.empty(0, np.int64)
+        self.held = (empty, empty, empty, empty)
+        self.large: dict[int, tuple[int, int]] = {}
+        self.out: list[tuple[np.ndarray, np.ndarray, int]] = []
+
+    def pairs(self, docs: np.ndarray, starts: np.ndarray, size: int) -> None:
+        i, j = np.triu_indices(size, 1)
+        a, b = docs[(starts[:, None] + i).ravel()], docs[(starts[:, None] + j).ravel()]
+        keep = a != b
+        self.out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], 0))
+
+    def prefix(self, k: int, depth: int) -> tuple[int, int]:
+        return int(self.key[k]), int(self.rest[k]) >> (16 * (DEPTH - depth)) if depth > BASE else 0
+
+    def descend(self, low: int, high: int, depth: int, open_: bool) -> None:
+        """Rows low to high share a prefix; `open_`: the next batch may bring more of them."""
+        known = self.large.get(depth) == self.prefix(low, depth) or self.long[low] >= depth
+        if high - low <= BUCKET and not known:
+            if open_:
+                self.held = tuple(c[low:high].copy() for c in (self.key, self.rest, self.doc, self.long))
+                return
+            if high - low > 1:
+                self.pairs(self.doc, np.array([low]), high - low)
+            if depth > BASE:
+                own = np.unique(self.doc[low:high])
+                self.out.append((own, own, depth))
+            return
+        if open_:
+            self.large[depth] = self.prefix(low, depth)
+        if depth == DEPTH:  # equal in all labels: compared in blocks; told by the path
+            own = np.unique(self.doc[low:high])
+            self.out.append((own, own, depth))
+            self.out.append((own, np.full(len(own), hash(self.prefix(low, depth)), np.int64), -1))
+            return
+        labels = self.rest[low:high] >> (16 * (DEPTH - depth - 1))
+        cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), high - low]
+        for a, b in zip(cuts, cuts[1:]):
+            self.descend(low + a, low + b, depth + 1, open_ and b == high - low)
+
+    def feed(self, columns: tuple[np.ndarray, ...], last: bool) -> None:
+        self.key, self.rest, self.doc, self.long = (np.concatenate(c) for c in zip(self.held, columns))
+        self.held = tuple(c[:0] for c in self.held)
+        n = len(self.key)
+        if not n:
+            return
+        starts = np.concatenate([[0], np.flatnonzero(self.key[1:] != self.key[:-1]) + 1])
+        sizes = np.diff(np.append(starts, n))
+        plain = (sizes <= BUCKET) & (self.long[starts] < BASE)
+        plain[0] &= self.large.get(BASE) != self.prefix(0, BASE)
+        plain[-1] &= last
+        for size in np.unique(sizes[plain]):
+            if size > 1:
+                self.pairs(self.doc, starts[plain & (sizes == size)], int(size))
+        for k in np.flatnonzero(~plain):
+            self.descend(int(starts[k]), int(starts[k] + sizes[k]), BASE, not last and k == len(starts) - 1)
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        out, self.out = self.out, []
+        if out:
+            a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+            depth = np.repeat(np.array([x[2] for x in out], np.int32), [len(x[0]) for x in out])
+            for k in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in (a, b, depth)], names=["a", "b", "depth"])
+
+
+def _scanned(forest: DataFrame, long_: DataFrame | None) -> DataFrame:
+    """(a, b, depth): with depth 0 a pair; with depth -1 a file and its run's number, for runs equal in all labels; else a
+    file and the depth that its prefix had to keep in a tree."""
+    rows = forest.withColumn("long", F.lit(0))
+    place = [F.col("key")]
+    if long_ is not None:
+        bytes_ = long_.count() * 24
+        for depth in range(BASE, DEPTH + 1):
+            level = long_.where(F.col("depth") == depth).select("key", F.col("prefix").alias("_prefix"), F.lit(depth).alias("_depth"))
+            rows = rows.withColumn("_prefix", _at(depth)).join(small_side(level, bytes_), ["key", "_prefix"], "left")
+            rows = rows.select("key", "rest", "doc", F.coalesce("_depth", "long").alias("long"))
+        # the rows of a long run go by one label more; of a run that is long at DEPTH, by the file, as it is not scanned
+        deeper = F.expr(f"shiftright(rest, 16 * ({DEPTH - 1} - long))")
+        place.append(F.when(F.col("long") >= DEPTH, F.xxhash64("doc")).when(F.col("long") >= BASE, deeper).otherwise(F.lit(0)))
+    placed = rows.repartition(*place).sortWithinPartitions("key", "rest", "doc")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _Scan()
+        for batch in batches:
+            scan.feed(tuple(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)), False)
+            yield from scan.taken()
+        scan.feed(tuple(np.empty(0, np.int64) for _ in range(4)), True)
+        yield from scan.taken()
 
-def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs within buckets of at most BUCKET documents: (a, b)."""
-    lists = buckets.groupBy("key").agg(F.sort_array(F.collect_set("doc")).alias("docs")).where(F.size("docs") > 1)
-    firsts = lists.select("docs", F.posexplode("docs").alias("at", "a"))
-    return firsts.select("a", F.explode(F.slice("docs", F.col("at") + 2, F.lit(BUCKET))).alias("b"))
+    return placed.select("key", "rest", "doc", F.col("long").cast("bigint")).mapInArrow(run, "a bigint, b bigint, depth int")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -114,55 +274,30 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: distinct pairs of representatives to verify."""
+def candidates(reps: DataFrame, count: int, again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(a, b), a < b: distinct pairs of the `count` representatives to verify; `again` gives the labels that documents have
+    in a further round."""
     found: list[DataFrame] = []
-    all_paths = _paths(ROUNDS)
-    left, first_hot = reps, None
+    left, losses = reps, None
     missing = math.log(1 - RECALL) + 1e-9
-    losses = None  # (doc, loss): log of the chance to miss a partner that only large subtries hold, so far
     for turn in range(ROUNDS):
-        rows = _forest(left, all_paths[turn])
-        hot = cut(_hot(rows, BASE))
-        if hot.isEmpty():
-            found.append(_bucket_pairs(rows.select(_key(BASE).alias("key"), "doc")))
-            return _distinct(found)
-        size = hot.count() * 16
-        judged = rows.withColumn("key", _key(BASE)).join(small_side(hot, size), "key", "left")
-        if first_hot is None:
-            first_hot = judged.where("count IS NOT NULL").select("key", "count", "doc")
-        found.append(_bucket_pairs(judged.where("count IS NULL").select("key", "doc")))
-        depths = []
-        deep = cut(judged.where("count IS NOT NULL").select("tree", "path", "doc"))
-        for depth in range(BASE + 1, DEPTH + 1):
-            hot = cut(_hot(deep, depth))
-            judged = deep.withColumn("key", _key(depth)).join(small_side(hot, hot.count() * 16), "key", "left")
-            found.append(_bucket_pairs(judged.where("count IS NULL").select("key", "doc")))
-            depths.append(judged.where("count IS NULL").select("doc", F.lit(depth).alias("depth")))
-            if hot.isEmpty():
-                break
-            if depth == DEPTH:
-                found.append(_block_pairs(judged.where("count IS NOT NULL")))
-                depths.append(judged.where("count IS NOT NULL").select("doc", F.lit(depth).alias("depth")))
-            else:
-                deep = cut(judged.where("count IS NOT NULL").select("tree", "path", "doc"))
+        scanned = cut(_scanned(_forest(left, turn), _long_runs(left, turn, count)))
+        found.append(scanned.where("depth = 0").select("a", "b"))
+        equal = scanned.where("depth = -1").select(F.col("b").alias("key"), F.col("a").alias("doc")).distinct()
+        if not equal.isEmpty():
+            found.append(_block_pairs(equal.join(equal.groupBy("key").count(), "key")))
         loss = F.sum(F.log(1 - F.pow(F.lit(THRESHOLD), F.col("depth")))).alias("loss")
-        now = depths[0]
-        for more in depths[1:]:
-            now = now.unionByName(more)
-        # a file without a large subtrie in this round has had a full search by it
-        now = now.groupBy("doc").agg(loss)
+        now = scanned.where("depth > 0").groupBy(F.col("a").alias("doc")).agg(loss, F.count("*").alias("dense"))
         if losses is not None:
-            now = now.join(losses.withColumnRenamed("loss", "before"), "doc", "left")
-            now = now.select("doc", (F.col("loss") + F.coalesce("before", F.lit(0.0))).alias("loss"))
-        losses = cut(now)
-        short = losses.where(F.col("loss") > missing).select("doc")
-        if short.isEmpty():
-            return _distinct(found)
-        left = left.join(short, "doc", "left_semi")
-    # what further trees could not settle is compared in full in the subtries of the first round
-    rest = first_hot.join(left.select("doc"), "doc", "left_semi")
-    found.append(_block_pairs(rest))
+            before = losses.select("doc", F.col("loss").alias("loss_"), F.col("dense").alias("dense_"))
+            total = [(F.coalesce(c, F.lit(0)) + F.col(c + "_")).alias(c) for c in ("loss", "dense")]
+            now = before.join(now, "doc", "left").select("doc", *total)
+        losses = cut(now.where((F.col("loss") > missing) & (F.col("dense") > _few(TREES * (turn + 1)))))
+        short = losses.select("doc")
+        count = short.count()
+        if not count:
+            break
+        left = cut(again(small_side(short, count * 16), turn + 1))
     return _distinct(found)
 
 
@@ -211,11 +346,19 @@ def near_duplicates(files: DataFrame, id_column: str = "file_id") -> tuple[DataF
     """(links, members): links (a, b, similarity) between representatives; members (doc, rep), each class's files."""
     signed = cut(signatures(files, id_column))
     ids = signed.select("class", "doc").distinct()
-    heads = signed.groupBy("class").agg(F.min("doc").alias("doc"), F.first("labels").alias("labels"))
-    heads = cut(heads)
-    members = ids.join(heads.select("class", F.col("doc").alias("rep")), "class").select("doc", "rep")
-    links = verified(files, candidates(heads.select("doc", "labels")), id_column)
-    return cut(links), cut(members)
+    heads = ids.groupBy("class").agg(F.min("doc").alias("rep"))
+    members = cut(ids.join(heads, "class").select("doc", "rep"))
+    heads = members.where("doc = rep").select("doc")
+    n = heads.count()
+    # rows that repeat an id may bring their labels twice; a path that meets itself gives no pair
+    reps = signed.select("doc", "labels").join(small_side(heads, n * 16), "doc", "left_semi")
+
+    def again(docs: DataFrame, turn: int) -> DataFrame:
+        texts = files.join(docs.withColumnRenamed("doc", "_doc"), files[id_column].cast("bigint") == F.col("_doc"), "left_semi")
+        return signatures(texts, id_column, turn=turn).select("doc", "labels")
+
+    links = verified(files, candidates(reps, n, again), id_column)
+    return cut(links), members
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

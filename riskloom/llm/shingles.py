@@ -7,8 +7,16 @@ import numpy as np
 from riskloom.llm import words as W
 
 WORDS = 5
-#: Bins of the one-permutation MinHash.
-BINS = 128
+#: A MinHash has some independent hashings of the set, each split into PER_HASHING bins.
+HASHINGS, PER_HASHING = 8, 16
+BINS = HASHINGS * PER_HASHING
+_STARTS = np.arange(PER_HASHING, dtype=np.uint64) << np.uint64(60)
+
+
+def seeds(turn: int = 0, hashings: int = HASHINGS) -> np.ndarray:
+    """Odd factors of the hashings of a turn."""
+    rng = np.random.Generator(np.random.PCG64([20240511, turn]))
+    return rng.integers(1, 2**63, hashings, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str, k: int = WORDS) -> np.ndarray:
@@ -16,32 +24,27 @@ def shingle_set(text: str, k: int = WORDS) -> np.ndarray:
     return np.unique(W.grams(W.hashes(W.ASCII_WORD.findall(text)), k))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, factors: np.ndarray = seeds()) -> np.ndarray:
     """uint16 labels, one per bin: the smallest hash of the bin's range. The labels of two sets agree in a bin with a
-    probability equal to their similarity. An empty bin borrows from bins in an order fixed by its number, so that two
-    sets borrow alike (densification)."""
-    bins = (shingles >> np.uint64(57)).astype(np.int64)
-    first = np.searchsorted(bins, np.arange(BINS))
-    held = np.zeros(BINS, bool)
-    held[bins] = True
-    low = np.zeros(BINS, np.uint64)
-    low[held] = shingles[first[held]]
-    if not held.all():
-        empty = np.flatnonzero(~held)
-        source = np.full(len(empty), -1)
-        for turn in range(_ORDER.shape[1]):
-            open_ = source < 0
-            if not open_.any():
-                break
-            tried = _ORDER[empty[open_], turn]
-            source[open_] = np.where(held[tried], tried, -1)
-        low[empty] = low[source]
-    return (W.mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    probability equal to their similarity. With as few as 30 members one bin in seven is empty; it borrows from
+    the hashing's other bins in an order fixed by its number, so that two sets borrow alike (densification)."""
+    out = np.empty((len(factors), PER_HASHING), np.uint64)
+    for turn, factor in enumerate(factors):
+        hashed = np.sort(W.mix(shingles * factor))
+        first = np.searchsorted(hashed, _STARTS)
+        ends = np.append(first[1:], len(hashed))
+        held = first < ends
+        low = hashed[np.minimum(first, len(hashed) - 1)]
+        if not held.all():
+            for place in np.flatnonzero(~held):
+                low[place] = low[next(b for b in _ORDER[place] if held[b])]
+        out[turn] = low
+    return (W.mix(out.ravel()) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def _orders() -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(20240511))
-    return np.array([rng.permutation(BINS) for _ in range(BINS)])
+    return np.array([rng.permutation(PER_HASHING) for _ in range(PER_HASHING)])
 
 
 _ORDER = _orders()

@@ -203,10 +203,16 @@ def test_near_pairs_agree_with_brute_force(spark, monkeypatch):
     expected = {(a, b) for a in sets for b in sets if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))}
     got = [(r.file_a, r.file_b) for r in near_duplicates.near_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 50
-    # every bucket is hot: deeper subtries, further trees and block comparisons must lose nothing
+    # every run is dense: longer prefixes, further rounds and blocks of equal paths must lose nothing
+    few, inner = df.where("file_id < 60"), {p for p in expected if p[1] < 60}
     monkeypatch.setattr(near_duplicates, "BUCKET", 2)
-    monkeypatch.setattr(near_duplicates, "ROUNDS", 1)
-    assert {(r.file_a, r.file_b) for r in near_duplicates.near_pairs(df).collect()} == expected
+    assert {(r.file_a, r.file_b) for r in near_duplicates.near_pairs(few).collect()} == inner
+    monkeypatch.setattr(near_duplicates, "BUCKET", 64)
+    # every run is too long for a task
+    monkeypatch.setattr(near_duplicates, "RUN", 3)
+    monkeypatch.setattr(near_duplicates, "_few", lambda trees: trees)
+    longer = {(r.file_a, r.file_b) for r in near_duplicates.near_pairs(few).collect()}
+    assert longer <= inner and len(longer) > 0.9 * len(inner)
     # large classes of copies are linked by their representative
     monkeypatch.setattr(near_duplicates, "COPIES", 2)
     fewer = {(r.file_a, r.file_b) for r in near_duplicates.near_pairs(df).collect()}
@@ -231,6 +237,27 @@ def test_found_pairs_have_all_pairs_of_large_classes(spark, tmp_path, monkeypatc
     assert pairs(near_duplicates.all_pairs(df)) == pairs(near_duplicates.near_pairs(df)) != []
 
 
+def test_scan_of_any_batches_is_that_of_one():
+    rng = np.random.default_rng(3)
+    key, rest = rng.integers(0, 4, 3000), rng.choice([0, 1, 2, 3], (3000, 4), p=[0.85, 0.05, 0.05, 0.05])
+    packed = sum(rest[:, k].astype(np.int64) << (16 * (3 - k)) for k in range(4))
+    order = np.lexsort((np.arange(3000), packed, key))
+    columns = (key[order].astype(np.int64), packed[order], np.arange(3000)[order], np.zeros(3000, np.int64))
+
+    def result(cuts):
+        scan = near_duplicates._Scan()
+        for a, b in zip([0, *cuts], [*cuts, 3000]):
+            scan.feed(tuple(c[a:b] for c in columns), False)
+        scan.feed(tuple(c[:0] for c in columns), True)
+        rows = [r for batch in scan.taken() for r in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+        return sorted(set(rows))
+
+    whole = result([])
+    assert {d for _, _, d in whole} == {-1, 0, 4, 5, 6, 7}
+    for _ in range(20):
+        assert result(sorted(rng.choice(3000, rng.integers(1, 60), replace=False).tolist())) == whole
+
+
 def test_groups(spark):
     rng = random.Random(9)
     texts = variants("a", 4, rng) + variants("b", 1, rng) + [None]
