@@ -6,6 +6,7 @@ import json
 import re
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)(?![\w.+-]))')
+_WORDS = {"true": True, "false": False, "null": None}
 _BLANK = re.compile(r"[ \t\n\r]*")
 
 
@@ -13,6 +14,10 @@ class _Invalid(ValueError):
     pass
 
 
+class Number(str):
+    """A number as it stands in the text, so that neither digits nor exponents are lost."""
+
+
 def _refuse(name: str):
     raise _Invalid(name)
 
@@ -48,7 +53,7 @@ def _pairs(text: str):
             elif mark:
                 raise _Invalid(at)
             else:
-                put(json.loads(string or scalar))
+                put(json.loads(string) if string else _WORDS[scalar] if scalar in _WORDS else Number(scalar))
                 want = "after"
         elif want in ("key", "key or }"):
             if mark == "}" and want == "key or }":
@@ -75,13 +80,13 @@ def _pairs(text: str):
 
 def parse(text: str | None):
     """(True, value) of a strictly valid JSON text, else (False, None); a text that is one JSON string holding an
-    object or array stands for what it holds. A repeated key keeps its last value."""
+    object or array stands for what it holds. A repeated key keeps its last value; numbers are kept as they are written."""
     if not text:
         return False, None
 
     def strict(s):
         try:
-            return json.loads(s, parse_constant=_refuse)
+            return json.loads(s, parse_constant=_refuse, parse_int=Number, parse_float=Number)
         except RecursionError:
             return _pairs(s)
 
@@ -89,7 +94,7 @@ def parse(text: str | None):
         value = strict(text)
     except ValueError:
         return False, None
-    if isinstance(value, str):
+    if isinstance(value, str) and not isinstance(value, Number):
         try:
             inner = strict(value)
         except ValueError:
@@ -99,42 +104,40 @@ def parse(text: str | None):
     return True, value
 
 
-def label(value):
-    """Yields (pre, post, depth, level, kind, in_array, item, text) for each node below and including the root.
+def label(value, items: bool = True):
+    """[pre, post, depth, level, kind, element, step, text, item] for each node below and including the root.
 
     pre and post number the nodes as a depth-first walk enters and leaves them; level counts the enclosing array
-    elements, the node included if it is one; item is the path from the root; text is a scalar's value.
+    elements, the node included if it is one; step is the node's key or position in its parent; text is a scalar's value;
+    item is the path from the root if `items`, else empty, so that deep nesting costs no long paths.
     """
     pre = post = 0
     out = []
-    stack = [(value, "", 0, 0, False, None)]
+    stack = [(value, "", 0, 0, False, "", None)]
     while stack:
-        node, item, depth, level, element, slot = stack.pop()
+        node, item, depth, level, element, step, slot = stack.pop()
         if slot is not None:  # leaving
             out[slot][1] = post
             post += 1
             continue
         level += element
+        text, below = None, ()
         if isinstance(node, dict):
-            kind, text = "object", None
-            below = [(v, f"{item}/{k}", depth + 1, level, False, None) for k, v in node.items()]
+            kind = "object"
+            below = [(v, f"{item}/{k}" if items else "", depth + 1, level, False, k, None) for k, v in node.items()]
         elif isinstance(node, list):
-            kind, text = "array", None
-            below = [(v, f"{item}/{k}", depth + 1, level, True, None) for k, v in enumerate(node)]
+            kind = "array"
+            below = [(v, f"{item}/{k}" if items else "", depth + 1, level, True, str(k), None) for k, v in enumerate(node)]
+        elif node is None:
+            kind = "null"
+        elif isinstance(node, bool):
+            kind, text = "boolean", "true" if node else "false"
         else:
-            below = None
-            if node is None:
-                kind, text = "null", None
-            elif isinstance(node, bool):
-                kind, text = "boolean", "true" if node else "false"
-            elif isinstance(node, str):
-                kind, text = "string", node
-            else:
-                kind, text = "number", repr(node)
-        out.append([pre, post, depth, level, kind, element, item, text])
+            kind, text = "number" if isinstance(node, Number) else "string", str(node)
+        out.append([pre, post, depth, level, kind, element, step, text, item])
         pre += 1
         if below:
-            stack.append((None, item, depth, level, False, len(out) - 1))
+            stack.append((None, "", depth, level, False, "", len(out) - 1))
             stack.extend(reversed(below))
         else:
             post += 1

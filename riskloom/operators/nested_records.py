@@ -1,13 +1,17 @@
-"""Relational form of nested JSON: node tables linked by interval containment.
+"""Relational form of nested JSON: a node table per type, linked by interval containment.
 
 A depth-first walk gives each node a pre-order and a post-order number; node a encloses node b exactly if a.pre < b.pre
 and a.post > b.post. Parents are found from these intervals alone: nodes that could enclose (level l - 1) and nodes that
 look for their encloser (level l) of one record are merged in pre-order, and the nearest preceding candidate is the only
-one whose interval can contain the node. That is one shuffle and one sort, linear in the nodes, also for one huge record.
+one whose interval can contain the node. That is one shuffle and one sort, linear in the nodes, also for one huge record;
+candidates travel as three numbers, as the encloser's path is the beginning of the node's own.
+
+Node tables carry a node's own step instead of its path, so their size does not grow with the depth of nesting.
 
 Defined results: null, empty or invalid JSON gives no nodes; a text that is a JSON string which encodes an object or
-array is read as that; nested strings stay strings; repeated keys keep their last value; rows with the same id count
-once; nesting depth is not bounded; an empty table gives empty node tables; other columns are not looked at.
+array is read as that; nested strings stay strings; numbers stay as they are written; repeated keys keep their last value;
+rows with the same id and text count once, and of rows with the same id and another text equal result rows count once;
+nesting depth is not bounded; an empty table gives empty node tables; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
     "obs_id bigint, field string, pre bigint, post bigint, depth int, level int, kind string, element boolean, "
-    "item string, text string"
+    "step string, text string, item string, copy bigint"
 )
+KINDS = ("object", "array", "string", "number", "boolean", "null")
 FIELDS = ("raw_event", "extracted_iocs")
 #: Nodes per Arrow batch that goes back to the JVM.
 FLUSH = 50_000
@@ -31,8 +36,9 @@ def _surrogate_free(text: str | None) -> str | None:
     return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def labelled_nodes(df: DataFrame, id_column: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Every JSON node of the given text columns with its interval labels; schema NODE_SCHEMA."""
+def labelled_nodes(df: DataFrame, id_column: str = "id", fields: tuple[str, ...] = FIELDS, items: bool = False) -> DataFrame:
+    """Every JSON node of the given text columns with its interval labels; with `items` only array elements, with their
+    paths. copy is a hash of the text, which tells rows of one id apart; schema NODE_SCHEMA."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -52,39 +58,44 @@ def labelled_nodes(df: DataFrame, id_column: str = "id", fields: tuple[str, ...]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for k, field in enumerate(fields):
-                for obs, text in zip(ids, batch.column(k + 1).to_pylist()):
+                texts, copies = (batch.column(n).to_pylist() for n in (2 * k + 1, 2 * k + 2))
+                for obs, text, copy in zip(ids, texts, copies):
                     ok, value = json_walk.parse(text)
                     if not ok:
                         continue
-                    for pre, post, depth, level, kind, element, item, scalar in json_walk.label(value):
-                        rows.append(
-                            (obs, field, pre, post, depth, level, kind, element, _surrogate_free(item), _surrogate_free(scalar))
-                        )
+                    for pre, post, depth, level, kind, element, step, scalar, item in json_walk.label(value, items):
+                        if element or not items:
+                            rows.append((obs, field, pre, post, depth, level, kind, element, *map(_surrogate_free, (step, scalar, item)), copy))
                     if len(rows) >= FLUSH:
                         yield flush()
         yield flush()
 
-    return df.select(df[id_column], *[df[f] for f in fields]).mapInArrow(walk, NODE_SCHEMA)
+    return df.select(df[id_column], *[c for f in fields for c in (df[f], F.xxhash64(df[f]))]).mapInArrow(walk, NODE_SCHEMA)
 
 
 def node_table(nodes: DataFrame, kind: str) -> DataFrame:
-    """The nodes of one type (object, array, string, number, boolean or null)."""
-    return nodes.where(F.col("kind") == kind)
+    """The nodes of one type (see KINDS), once each: obs_id, field, pre, post, depth, level, element, step and, of scalars,
+    text. A node's parent is the node of the same obs_id and field whose interval encloses it and whose depth is one less."""
+    columns = ["obs_id", "field", "pre", "post", "depth", "level", "element", "step", *(["text"] if kind in ("string", "number", "boolean") else [])]
+    return nodes.where(F.col("kind") == kind).select(*columns).distinct()
 
 
 def link_elements(nodes: DataFrame) -> DataFrame:
     """Array elements with the innermost array element that encloses each: obs_id, field, item, parent."""
-    elements = nodes.where("element").select("obs_id", "field", "pre", "post", "level", "item").distinct()
 
     def side(seeks: bool) -> DataFrame:
         # a candidate encloses nodes of the next level; a seeker looks for a candidate of the level above
         level: Column = F.col("level") - 1 if seeks else F.col("level")
-        return elements.select("obs_id", "field", "pre", "post", level.alias("level"), "item", F.lit(seeks).alias("seeks"))
-
-    order = Window.partitionBy("obs_id", "field", "level").orderBy("pre", "seeks")
-    candidate = F.when(~F.col("seeks"), F.struct("pre", "post", "item"))
-    merged = side(False).unionByName(side(True)).withColumn("last", F.last(candidate, ignorenulls=True).over(order))
+        item: Column = F.col("item") if seeks else F.lit(None).cast("string")
+        length: Column = F.lit(None).cast("int") if seeks else F.length("item")
+        return nodes.where("element").select("obs_id", "field", level.alias("level"), "copy", "pre", "post", item.alias("item"), length.alias("length"))
+
+    # one placing serves the search for parents and the removal of repeated rows
+    merged = side(False).unionByName(side(True)).repartition("obs_id", "field", "level")
+    order = Window.partitionBy("obs_id", "field", "level", "copy").orderBy("pre", F.col("length").isNull())
+    candidate = F.when(F.col("length").isNotNull(), F.struct("pre", "post", "length"))
+    last = F.last(candidate, ignorenulls=True).over(order)
+    found = merged.withColumn("last", last).where("item IS NOT NULL")
     inside = (F.col("last.pre") < F.col("pre")) & (F.col("last.post") > F.col("post"))
-    return merged.where("seeks").select(
-        "obs_id", "field", "item", F.when(inside, F.col("last.item")).otherwise(F.lit("")).alias("parent")
-    )
+    parent = F.when(inside, F.substring(F.col("item"), F.lit(1), F.col("last.length"))).otherwise(F.lit(""))
+    return found.select("obs_id", "field", "level", "item", parent.alias("parent")).distinct().drop("level")

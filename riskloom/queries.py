@@ -50,23 +50,43 @@ def literal(text: str) -> str:
 # nested records and repeated messages
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested_records.labelled_nodes(table(spark, d, "runtime_observations"))
+def _nodes(spark: SparkSession, d: str, items: bool = False) -> DataFrame:
+    return nested_records.labelled_nodes(table(spark, d, "runtime_observations"), items=items)
 
 
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested_records.link_elements(_nodes(spark, d))
+    return nested_records.link_elements(_nodes(spark, d, items=True))
 
 
 @query()
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested_records.node_table(_nodes(spark, d), "object").select("obs_id", "field", "pre", "post", "depth", "item").distinct()
+    return nested_records.node_table(_nodes(spark, d), "object")
 
 
 @query()
-def p3_scalars(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).where("kind NOT IN ('object', 'array')").select("obs_id", "field", "pre", "post", "depth", "kind", "item", "text").distinct()
+def p3_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.node_table(_nodes(spark, d), "array")
+
+
+@query()
+def p3_strings(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.node_table(_nodes(spark, d), "string")
+
+
+@query()
+def p3_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.node_table(_nodes(spark, d), "number")
+
+
+@query()
+def p3_booleans(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.node_table(_nodes(spark, d), "boolean")
+
+
+@query()
+def p3_nulls(spark: SparkSession, d: str) -> DataFrame:
+    return nested_records.node_table(_nodes(spark, d), "null")
 
 
 _MESSAGE = r"""ecosystem,

@@ -52,7 +52,7 @@ def test_messages_of_an_empty_queue(spark, tmp_path):
 
 def found(spark, rows):
     df = spark.createDataFrame(rows, "id bigint, raw_event string, extracted_iocs string, pre int, parent string")
-    links = nested_records.link_elements(nested_records.labelled_nodes(df)).collect()
+    links = nested_records.link_elements(nested_records.labelled_nodes(df, items=True)).collect()
     return {(r.obs_id, r.field, r.item, r.parent) for r in links}
 
 
@@ -76,11 +76,31 @@ def test_nested_depth_and_width(spark):
     assert found(spark, []) == set()
 
 
+def test_numbers_stay_as_they_are_written(spark):
+    texts = ["1.10", "1e400", "12345678901234567890.123", "-0", "7" * 5000, "1E+2"]
+    df = spark.createDataFrame([(1, "[" + ",".join(texts) + "]", '"5"', 0)], "id bigint, raw_event string, extracted_iocs string, copy int")
+    nodes = nested_records.labelled_nodes(df)
+    assert [r.text for r in nested_records.node_table(nodes, "number").orderBy("pre").collect()] == texts
+    assert [(r.field, r.text) for r in nested_records.node_table(nodes, "string").collect()] == [("extracted_iocs", "5")]
+    assert json_walk._pairs('[1.10, true, null, "a"]') == ["1.10", True, None, "a"] and json_walk.parse('"7"') == (True, "7")
+
+
+def test_node_tables_of_deep_records_and_repeated_rows(spark):
+    deep = "[" * 20000 + "1" + "]" * 20000
+    df = spark.createDataFrame([(1, deep, '{"a": {"b": [true, null]}}')] * 2 + [(2, None, "{")], "id bigint, raw_event string, extracted_iocs string")
+    tables = {k: nested_records.node_table(nested_records.labelled_nodes(df), k).collect() for k in nested_records.KINDS}
+    assert {k: len(v) for k, v in tables.items()} == {"object": 2, "array": 20001, "string": 0, "number": 1, "boolean": 1, "null": 1}
+    assert {(r.step, r.depth, r.element) for r in tables["null"]} == {("1", 3, True)}
+    inner, = [r for r in tables["object"] if r.step == "a"]
+    array, = [r for r in tables["array"] if r.step == "b"]
+    assert inner.pre < array.pre and inner.post > array.post and array.depth == inner.depth + 1
+
+
 def test_the_walk_agrees_with_the_standard_parser():
     texts = ['{"a": [1, {"b": "\\u00e9"}], "c": {}}', "[]", "3", '"x"', "[1, 2", "{'a': 1}", '{"a" 1}', "[1,]", "nul", " [ ] ", '{"a":1,"a":[2]}']
     for text in texts:
         try:
-            expected = json.loads(text)
+            expected = json.loads(text, parse_int=str, parse_float=str)
         except ValueError:
             with pytest.raises(ValueError):
                 json_walk._pairs(text)
