@@ -8,6 +8,8 @@ the outcome of a statement's shape is remembered, and a shape that recurs in any
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Callable
 
 #: Remembered shapes and tokens per worker before the memory starts anew.
 MEMORY = 200_000
@@ -37,3 +39,14 @@ class Lines:
         self.line += self.text.count("\n", self.at, offset)
         self.at = offset
         return self.line
+
+
+def to_any_depth(parse: Callable[[], None], tokens: int) -> None:
+    """Runs a parser that calls itself for nested texts with as many calls as the text may need. The calls are of Python
+    functions only, which the interpreter keeps on the heap, so nesting is bounded by memory alone."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 40 * tokens + 2000))
+    try:
+        parse()
+    finally:
+        sys.setrecursionlimit(limit)

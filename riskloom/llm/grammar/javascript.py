@@ -8,9 +8,8 @@ error in a statement the parser goes on behind the next line end or semicolon (p
 from __future__ import annotations
 
 import re
-import sys
 
-from riskloom.llm.grammar import MEMORY, Lines, Refused
+from riskloom.llm.grammar import MEMORY, Lines, Refused, to_any_depth
 
 _WORD = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _NUMBER = (
@@ -1073,14 +1072,7 @@ class Parser:
 
 def _parse(shape: str) -> list[tuple[int, str]]:
     parser = Parser(shape)
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 60_000))
-    try:
-        parser.program()
-    except RecursionError:
-        parser.errors.append((0, "nested too deeply"))
-    finally:
-        sys.setrecursionlimit(limit)
+    to_any_depth(parser.program, len(shape))
     return parser.errors
 
 

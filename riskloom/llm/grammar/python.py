@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from riskloom.llm.grammar import MEMORY, Refused
+from riskloom.llm.grammar import MEMORY, Refused, to_any_depth
 
 _PREFIX = r"(?:[rRuUbB]|[rR][bB]|[bB][rR])?"
 _FPREFIX = r"(?:[fF][rR]?|[rR][fF])"
@@ -881,19 +881,39 @@ class _Line:
 _lines: dict[str, tuple | Refused | None] = {}
 
 
+#: Brackets that the language's tokenizer allows to be open at once.
+BRACKETS = 200
+
+
+def _open(shape: str) -> int:
+    """Most brackets that are open at once."""
+    most = now = 0
+    for c in shape:
+        if c in "([{":
+            now += 1
+            most = max(most, now)
+        elif c in ")]}":
+            now -= 1
+    return most
+
+
 def _outcome(shape: str) -> tuple | Refused | None:
     depth = sum(map(shape.count, "([{")) - sum(map(shape.count, ")]}"))
     if depth > 0:
         found = None
     else:
+        line = _Line(shape)
+        parsed: list[tuple] = []
         try:
-            line = _Line(shape)
-            kind, block = line.statement_line()
-            found = (kind, block, line.flags)
+            if len(shape) < 40:
+                parsed.append(line.statement_line())
+            else:
+                to_any_depth(lambda: parsed.append(line.statement_line()), len(shape))
+            found = (*parsed[0], line.flags)
         except Refused as e:
             found = e
-        except RecursionError:
-            found = Refused(0, "nested too deeply")
+        if found.__class__ is not Refused and len(shape) > BRACKETS and _open(shape) > BRACKETS:
+            found = Refused(0, "too many nested brackets")
     if len(_lines) > MEMORY:
         _lines.clear()
     if len(shape) <= 400:

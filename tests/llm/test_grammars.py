@@ -132,3 +132,53 @@ def test_every_error_is_stored(spark):
     for k, name in enumerate(texts):
         first = 2 if name == "cfg" else 1
         assert [e.line for e in got[k].errors] == list(range(first, first + 300)) and got[k].error_count == 300, name
+
+
+def test_nesting_of_any_depth():
+    from riskloom.llm.grammar import data, javascript, python
+
+    for n in (900, 20000):
+        assert javascript.check("x = " + "(" * n + "1" + ")" * n) == [] and javascript.check("x = " + "[" * n + "1" + "]" * (n - 1)) != []
+        assert data.toml_errors("a = " + "[" * n + "1" + "]" * n) == [] and data.toml_errors("a = " + "{b = " * n + "1" + "}" * n) == []
+        assert data.json_errors("[" * n + "]" * n) == [] and data.json_errors("[" * n + "]" * (n - 1)) != []
+    for n in (150, 200, 201):  # the language itself ends at 200
+        assert (python.check("x = " + "(" * n + "1" + ")" * n) == []) == (n <= 200)
+
+
+TOML_OK = [
+    "a.b = 1\na.c = 2\n[x]\n[x.y]\n[z]\n", "[a.b]\n[a]\nc = 1\n", "[[a]]\nb = 1\n[[a]]\nb = 2\n[a.c]\n[[a]]\n[a.c]\n", "a = {b.c = 1, b.d = 2}\n", "a = [1, [2,],\n # c\n]\n", "a = 1979-05-27 07:32:00.5Z\nb = 07:32:00\n",
+    'a = """x""y"""\nb = \'\'\'z\'\'\'\n', '"a.b" = 1\na.b = 2\n', "a = 0x_".replace("_", "f") + "\n", "a = -inf\nb = 1_0.5e+3 # c\n", 'a = """b\\\n  \n c"""\n', "a = {}\nb = []\n[[c]]\n[c.d]\n",
+]
+TOML_BAD = [
+    "a = 1\na = 2\n", "[a]\n[a]\n", "a = 1\n[a]\n", "a = 1\na.b = 2\n", "[a]\nb.c = 1\n[a.b]\n", "[[a]]\n[a]\n", "[a]\n[[a]]\n", "a = {b = 1}\na.c = 2\n", "a = {b = 1}\n[a.c]\n", "a = [1]\n[[a]]\n", "a = 1979-13-01\n", "a = 24:00:00\n",
+    "[a.b]\nx = 1\n[a]\nb.y = 2\n", "a = 01\n", "a = 1.\n", "a = \\u0000\n", 'a = "\\ud800"\n', "a = {b = 1,}\n", "a = {b = 1\n}\n", "a = 1 b = 2\n", "= 1\n", "a = \n", "a\n", "[a\n", "a = # c\n", "a = [1 2]\n", "a = 1 # \x01\n", "a = 'b\nc'\n", "a.b.c = 1\na.b = 2\n",
+]
+
+
+@pytest.mark.parametrize("text", TOML_OK + TOML_BAD)
+def test_toml_agrees_with_the_standard_parser(text):
+    from riskloom.llm.grammar import data
+
+    try:
+        tomllib.loads(text)
+        valid = True
+    except tomllib.TOMLDecodeError:
+        valid = False
+    assert valid == (text in TOML_OK) == (data.toml_errors(text) == []), data.toml_errors(text)
+
+
+@pytest.mark.parametrize("text", [
+    "[a]\nb = 1\n", "[a]\nb = 1\n c\n\n d\n", "[a]\n[DEFAULT]\nx = 1\n[DEFAULT]\ny = 1\n", "[a]\n[a]\n", "b = 1\n", "[a]\nb\n", "[a]\nB = 1\nb: 2\n", "[a]\n= 1\n", "[DEFAULT]\nx = 1\n[DEFAULT]\nx = 2\n", "", "# c\n", "[]\nb = 1\n", "[a]\r\nb = 1\r\n",
+    "[a]\nb = 1\x0cc\n", "[a] c\nb=1\n", " [a]\n b = 1\n  c\n", "[a]\n b = 1\nc\n", "<<<<<<< x\n[a]\n",
+])
+def test_ini_agrees_with_the_standard_parser(text):
+    import configparser
+
+    from riskloom.llm.grammar import data
+
+    try:
+        configparser.RawConfigParser().read_string(text)
+        valid = True
+    except configparser.Error:
+        valid = False
+    assert valid == (data.ini_errors(text) == []), data.ini_errors(text)
