@@ -140,6 +140,8 @@ class ByteBPE:
 
     def sizes(self, pretokens: list[str]) -> list[int]:
         """Number of ids of each pre-token."""
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
         return [len(x) >> 2 for x in map(self.cache.__getitem__, pretokens)]
 
 

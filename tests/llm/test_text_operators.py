@@ -148,6 +148,30 @@ def test_pieces_cover_in_order(spark, reference):
     assert found[1][0].text.endswith("\n\n") and "\n# b\n" in found[1][1].text
 
 
+@pytest.mark.parametrize("limit, overlap", [(20, 4), (100, 10), (8, 4), (300, 0), (5, 1)])
+def test_small_limits_lose_nothing(spark, reference, limit, overlap):
+    _, own = reference
+    rng = random.Random(limit)
+    texts = ["x" * 900, "0123456789" * 60, "🙂é" * 200, "word " * 200, "\u0f3a\U0001f9ff" * 90, "".join(rng.choices("ab \n\r日", k=600)), "# h\n\n" * 80]
+    for i, rows in (found := pieces_of(spark, texts, limit=limit, overlap=overlap)).items():
+        end = 0
+        for r in rows:
+            assert r.text == texts[i][r.first_char : r.first_char + len(r.text)] and r.first_char <= end and r.tokens <= limit
+            assert r.overlap_tokens <= overlap
+            end = r.first_char + len(r.text)
+        assert end == len(texts[i])
+    assert set(found) == {i for i, t in enumerate(texts) if len(own.encode(t)) > limit}
+    with pytest.raises(ValueError):
+        splitting.oversized_pieces(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), limit=limit, overlap=limit - 3)
+
+
+def test_boundaries_look_as_far_as_they_need():
+    heading = "a" * 500
+    assert splitting.boundary(f"x\n{heading}\n====\n", 2) == "S" and splitting.boundary(f"x\r\n[{heading}]\r\n", 3) == "S"
+    assert splitting.boundary("x\n" + " " * 90 + "\ny", 93) == "P" and splitting.boundary("x\r\ny", 3) == "N" and splitting.boundary("x\r\n\r\ny", 5) == "P"
+    assert splitting.boundary("x\ny", 1) == "W" and splitting.boundary("xy", 1) == "C" and splitting.boundary("xy", 2) == "C"
+
+
 def test_all_texts_have_pieces(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "", 1), (4, "b " * 5000, 1)], "doc_id bigint, text string, piece int")
     rows = splitting.split_texts(df).collect()
