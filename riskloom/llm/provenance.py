@@ -1,8 +1,10 @@
 """Files that nobody wrote by hand: generated, minified, vendored, or data saved as code.
 
-Layout is measured with built-in functions in one scan, without a shuffle: longest and mean line, share of white space,
-letters and digits, identifiers, numeric literals, and characters in long encoded runs. The limits are kept per language.
-Provenance marks (paths, lock file names, opening comments, bundler frames) add what layout cannot show.
+Two operators judge a file. layout_verdicts goes by layout alone: longest and mean line, share of white space, of letters
+and digits, of identifiers, density of numeric literals, and characters in long encoded runs, with limits per language; it
+tells minified scripts and data. marked goes by what layout cannot show: paths, lock files, opening comments and bundler
+frames; it tells generated and vendored files, which are laid out as hand-written ones are. Both are built-in functions in
+one scan, without a shuffle.
 
 Defined results: a null content is judged by its path alone and has null statistics; an empty content is hand-written
 unless its path says otherwise; whole contents are measured, however long; repeated rows of a file_id count once in
@@ -21,20 +23,26 @@ from pyspark.sql import functions as F
 class Limits:
     """Limits of one language; a share is of all characters."""
 
-    minified_mean_line: int  # mean length of the lines that are not blank
+    minified_mean_line: int | None  # mean length of the lines that are not blank; None: never minified
     minified_longest_line: int
     minified_blank_share: float  # at most
+    minified_alnum_share: float  # at least, and
     minified_identifier_share: float  # at least, so that bytes saved as code are not taken for it
-    data_identifier_share: float  # at most, outside strings
+    data_identifier_share: float  # at most, outside strings; below 0: only encoded runs count
     data_number_density: float  # numeric literals among numeric literals and identifiers
     data_encoded_share: float
-    data_least_chars: int
+    data_least_bytes: int  # of the content or, where that cannot be read, by size
 
 
 LIMITS = {
-    "python": Limits(200, 300, 0.06, 0.30, 0.12, 0.60, 0.40, 400),
-    "javascript": Limits(110, 250, 0.10, 0.30, 0.12, 0.60, 0.40, 400),
+    "python": Limits(200, 300, 0.06, 0.55, 0.30, 0.12, 0.60, 0.40, 100),
+    "javascript": Limits(110, 250, 0.10, 0.55, 0.30, 0.12, 0.60, 0.40, 100),
+    # settings and manifests are hand-written, also on one line; what is left are blobs saved under such a name
+    "json": Limits(None, 0, 0, 0, 0, -1.0, 1.0, 0.80, 100),
+    "toml": Limits(None, 0, 0, 0, 0, -1.0, 1.0, 0.80, 100),
+    "cfg": Limits(None, 0, 0, 0, 0, -1.0, 1.0, 0.80, 100),
 }
+PROGRAMS = ("python", "javascript")
 
 #: Directories kept for other projects' code.
 VENDOR_DIRS = (
@@ -83,7 +91,8 @@ def _kept(text: Column, pattern: str) -> Column:
 
 
 def layout_statistics(files: DataFrame, id_column: str = "file_id") -> DataFrame:
-    """(file_id, language, path, size, package, content and the layout columns), one row per row of `files`."""
+    """(file_id, language, path, size, package, content and the layout columns), one row per row of `files`. Identifiers and
+    numbers are only looked for in programs."""
     content = files["content"]
     base = files.select(
         files[id_column].cast("bigint").alias("file_id"),
@@ -94,9 +103,10 @@ def layout_statistics(files: DataFrame, id_column: str = "file_id") -> DataFrame
         content,
         F.length(content).alias("chars"),
         F.filter(F.transform(F.split(content, r"\r\n|\r|\n"), lambda x: F.length(F.trim(x))), lambda n: n > 0).alias("_lines"),
-        F.regexp_replace(content, STRING, '""').alias("_code"),
+        F.when(F.lower(F.trim(files["language"], F.lit(" \t\r\n"))).isin(*PROGRAMS), F.regexp_replace(content, STRING, '""')).alias("_code"),
     )
     chars = F.greatest(F.col("chars"), F.lit(1))
+    code = F.col("language").isin(*PROGRAMS)
     identifiers, numbers = F.regexp_count("_code", F.lit(IDENTIFIER)), F.regexp_count("_code", F.lit(NUMBER))
     lines = F.aggregate("_lines", F.lit(0), lambda a, b: a + b)
     measured = base.select(
@@ -105,7 +115,7 @@ def layout_statistics(files: DataFrame, id_column: str = "file_id") -> DataFrame
         F.round(lines / F.greatest(F.size("_lines"), F.lit(1)), 2).alias("mean_line"),
         F.round(_kept(F.col("content"), r"\s+") / chars, 4).alias("blank_share"),
         F.round(_kept(F.col("content"), r"[\p{L}\p{N}]+") / chars, 4).alias("alnum_share"),
-        F.round(_kept(F.col("_code"), IDENTIFIER) / chars, 4).alias("identifier_share"),
+        F.when(code, F.round(_kept(F.col("_code"), IDENTIFIER) / chars, 4)).alias("identifier_share"),
         F.round(numbers / F.greatest(numbers + identifiers, F.lit(1)), 4).alias("number_density"),
         F.round(_kept(F.col("content"), ENCODED) / chars, 4).alias("encoded_share"),
     )
@@ -126,52 +136,53 @@ def _name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[-_.]+", "-")
 
 
-def verdicts(files: DataFrame, id_column: str = "file_id") -> DataFrame:
-    """The layout statistics with four flags: generated, minified, vendored, data."""
-    s = layout_statistics(files, id_column)
+def layout_verdicts(measured: DataFrame) -> DataFrame:
+    """The layout statistics with two flags that they decide: minified, data."""
+
+    def minified(m: Limits) -> Column:
+        if m.minified_mean_line is None:
+            return F.lit(False)
+        return (
+            (F.col("mean_line") >= m.minified_mean_line) & (F.col("longest_line") >= m.minified_longest_line)
+            & (F.col("blank_share") <= m.minified_blank_share) & (F.col("identifier_share") >= m.minified_identifier_share)
+            & (F.col("alnum_share") >= m.minified_alnum_share)
+        )
+
+    def data(m: Limits) -> Column:
+        encoded = F.col("encoded_share") >= m.data_encoded_share
+        large = F.coalesce(F.octet_length("content"), F.col("size")) >= m.data_least_bytes
+        if m.data_identifier_share < 0:
+            return large & encoded
+        few = F.col("identifier_share") <= m.data_identifier_share
+        numbers = (F.col("number_density") >= m.data_number_density) | (F.col("identifier_share") <= m.data_identifier_share / 2)
+        return large & (encoded | few & numbers)
+
+    return measured.select("*", _per_language(minified).alias("minified"), _per_language(data).alias("data"))
+
+
+def marked(measured: DataFrame) -> DataFrame:
+    """Rows with path, content, language and package, with two flags that marks decide: generated, vendored."""
     folders = F.split(F.lower(F.regexp_replace("path", r"[^/]*$", "")), "/")
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     opening = F.regexp_extract(F.col("content"), OPENING, 1)
-    code = F.col("language").isin(*LIMITS)
+    code = F.col("language").isin(*PROGRAMS)
     no = F.lit(False)
     banner = F.regexp_extract(opening, BANNER, 1)
     own = _name_key(banner) == _name_key(F.col("package"))
-    flags = s.select(
-        "*",
-        F.coalesce(
-            (
-                name.isin(*LOCK_FILES)
-                | ((F.col("language") == "json") & F.coalesce(F.col("content").rlike(r'"lockfileVersion"\s*:\s*\d'), no))
-                | (code & opening.rlike(GENERATED_MARK) & ~opening.rlike(NOT_GENERATED))
-                | (code & F.col("content").rlike(BUNDLER_FRAME))
-            ),
-            no,
-        ).alias("generated"),
-        _per_language(
-            lambda m: (F.col("mean_line") >= m.minified_mean_line)
-            & (F.col("longest_line") >= m.minified_longest_line)
-            & (F.col("blank_share") <= m.minified_blank_share)
-            & (F.col("identifier_share") >= m.minified_identifier_share)
-        ).alias("minified"),
-        F.coalesce(
-            F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS)))
-            | (code & opening.rlike(FOREIGN_MARK) & ~F.coalesce(own, no)),
-            F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS))),
-            no,
-        ).alias("vendored"),
-        _per_language(
-            lambda m: (F.col("chars") >= m.data_least_chars)
-            & (
-                (F.col("encoded_share") >= m.data_encoded_share)
-                | (F.col("identifier_share") <= m.data_identifier_share)
-                & (
-                    (F.col("number_density") >= m.data_number_density)
-                    | (F.col("identifier_share") <= m.data_identifier_share / 2)
-                )
-            )
-        ).alias("data"),
+    generated = (
+        name.isin(*LOCK_FILES)
+        | ((F.col("language") == "json") & F.coalesce(F.col("content").rlike(r'"lockfileVersion"\s*:\s*\d'), no))
+        | (code & opening.rlike(GENERATED_MARK) & ~opening.rlike(NOT_GENERATED))
+        | (code & F.col("content").rlike(BUNDLER_FRAME))
     )
-    return flags
+    kept = F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS)))
+    vendored = F.coalesce(kept | (code & opening.rlike(FOREIGN_MARK) & ~F.coalesce(own, no)), kept, no)
+    return measured.select("*", F.coalesce(generated, no).alias("generated"), vendored.alias("vendored"))
+
+
+def verdicts(files: DataFrame, id_column: str = "file_id") -> DataFrame:
+    """The layout statistics with four flags: minified and data by layout, generated and vendored by marks."""
+    return marked(layout_verdicts(layout_statistics(files, id_column)))
 
 
 def non_handwritten(files: DataFrame) -> DataFrame:
