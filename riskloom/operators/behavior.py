@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from riskloom.catalogs import BEHAVIOR_RULES, JAVASCRIPT_CALLS, PYTHON_CALLS, SEQUENCES, calls_of
 
-CALL_SCHEMA = "file_id bigint, at int, name string, line int, dimension string"
+CALL_SCHEMA = "file_id bigint, at int, name string, line int, dimension string, snippet string"
+#: Characters of a call's line that are kept with it.
+SNIPPET = 200
 #: Libraries and verbs whose combination counts as data transmission.
 HTTP_LIBRARIES = ("requests", "httpx", "aiohttp", "urllib")
 HTTP_VERBS = ("get", "post", "put", "patch", "delete", "request", "urlopen", "urlretrieve")
@@ -71,11 +73,12 @@ def python_calls(files: DataFrame) -> DataFrame:
                     elif isinstance(node, ast.Subscript) and resolved(node.value) == "os.environ":
                         found.append(("os.environ.__getitem__", node.lineno, "I"))
                     stack.extend(reversed(list(ast.iter_child_nodes(node))))
-                out += [(key, k, *f) for k, f in enumerate(found)]
-            columns = zip(*out) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string())
+                lines = content.splitlines() if found else []
+                out += [(key, k, *f, lines[f[1] - 1].strip()[:SNIPPET] if f[1] <= len(lines) else "") for k, f in enumerate(found)]
+            columns = zip(*out) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["file_id", "at", "name", "line", "dimension"]
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["file_id", "at", "name", "line", "dimension", "snippet"]
             )
 
     rows = files.where((F.lower(F.trim("language")) == "python") & F.col("content").isNotNull())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.versions import predecessors
@@ -98,8 +98,75 @@ def toml_dependencies(files: DataFrame) -> DataFrame:
     return requirement_lines(lines).select(*OWNER, "name", "spec", "kind").distinct()
 
 
+def setup_requirements(content: str) -> list[str]:
+    """The requirement strings that a setup.py hands to setup(install_requires=...): lists and tuples of strings, sums of
+    such, and names bound to them at the top of the module. What is computed otherwise gives none."""
+    import ast
+
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    names: dict[str, list[str]] = {}
+
+    def strings(node) -> list[str] | None:
+        todo, out = [node], []
+        while todo:
+            n = todo.pop()
+            if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Add):
+                todo += [n.right, n.left]
+            elif isinstance(n, (ast.List, ast.Tuple)) and all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in n.elts):
+                out += [e.value for e in n.elts]
+            elif isinstance(n, ast.Name) and n.id in names:
+                out += names[n.id]
+            else:
+                return None
+        return out
+
+    for node in tree.body:
+        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+            found = strings(node.value)
+            if found is not None:
+                names[node.targets[0].id] = found
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and "setup" in (getattr(node.func, "id", ""), getattr(node.func, "attr", "")):
+            for keyword in node.keywords:
+                if keyword.arg == "install_requires" and (found := strings(keyword.value)) is not None:
+                    return found
+    return []
+
+
+def setup_dependencies(files: DataFrame) -> DataFrame:
+    """(…, name, spec, kind) of setup.py files, read from their syntax tree without running them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners = zip(*(batch.column(k).to_pylist() for k in range(4)))
+            out = [(*owner, line) for *owner, content in owners for line in setup_requirements(content)]
+            columns = zip(*out) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["ecosystem", "package", "version", "line"])
+
+    rows = files.where((F.col("basename") == "setup.py") & F.col("content").isNotNull()).select(*OWNER, "content")
+    lines = rows.mapInArrow(run, "ecosystem string, package string, version string, line string")
+    return requirement_lines(lines).select(*OWNER, "name", "spec", F.lit("direct").alias("kind")).distinct()
+
+
 def all_dependencies(files: DataFrame) -> DataFrame:
-    return npm_dependencies(files).unionByName(cfg_dependencies(files)).unionByName(toml_dependencies(files)).distinct()
+    out = npm_dependencies(files)
+    for more in (cfg_dependencies(files), toml_dependencies(files), setup_dependencies(files)):
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def dependency_verdicts(dependencies: DataFrame, advisories: DataFrame, version: Column) -> DataFrame:
+    """The dependencies with a verdict: MALICIOUS where an advisory names the pinned version or all versions, INDETERMINATE
+    where one names others or the version is not pinned, else CLEAN."""
+    known = advisories.select(F.col("ecosystem").alias("_e"), F.lower("package").alias("_n"), "version_glob").distinct()
+    known = known.groupBy("_e", "_n").agg(F.max(F.col("version_glob").isNull() | (F.col("version_glob") == "*")).alias("_all"), F.collect_set("version_glob").alias("_globs"))
+    j = dependencies.withColumn("_v", version).join(known, (F.col("ecosystem") == F.col("_e")) & (F.lower("name") == F.col("_n")), "left")
+    named = F.exists("_globs", lambda g: F.array_contains(F.split(g, ","), F.col("_v")))
+    verdict = F.when(F.col("_n").isNull(), "CLEAN").when(F.col("_all") | F.coalesce(named, F.lit(False)), "MALICIOUS").otherwise("INDETERMINATE")
+    return j.select(*dependencies.columns, verdict.alias("verdict"))
 
 
 def changed_dependencies(dependencies: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.catalogs import NODE_BUILTINS
+from riskloom.operators.versions import predecessors
 
 OWNER = ("ecosystem", "package", "version")
 #: File classes by extension, and directories that are left out.
@@ -39,6 +40,56 @@ def classified(files: DataFrame) -> DataFrame:
     )
 
 
+#: Files that run by themselves on installation or import, by registry, and folders of commands.
+FIRST_TIER = {"PyPI": (("setup.py", "__init__.py", "__main__.py"), 4), "npm": (("index.js", "index.mjs", "index.cjs", "postinstall.js", "preinstall.js"), 2)}
+COMMAND_FOLDERS = ("bin", "scripts", "cli")
+#: Languages by the end of a file's name.
+LANGUAGES = {"python": ("py",), "javascript": ("js", "mjs", "cjs"), "json": ("json",), "toml": ("toml",), "cfg": ("cfg",)}
+
+
+def tiered(files: DataFrame) -> DataFrame:
+    """Adds tier (1: runs on installation or import, 2: commands, 3: other sources), the language that the name tells and
+    whether the file is analysed (manifests other than package.json are not)."""
+    parts = F.split(F.regexp_replace(F.coalesce("path", F.lit("")), r"\\\\", "/"), "/")
+    name = F.element_at(parts, -1)
+    names, depth = FIRST_TIER["PyPI"]
+    first = (F.col("ecosystem") == "PyPI") & name.isin(*names) & (F.size(parts) <= depth)
+    names, depth = FIRST_TIER["npm"]
+    first = first | (F.col("ecosystem") != "PyPI") & name.isin(*names) & (F.size(parts) <= depth)
+    tier = F.when(F.coalesce(first, F.lit(False)), 1).when(F.arrays_overlap(parts, F.array(*map(F.lit, COMMAND_FOLDERS))), 2).otherwise(3)
+    language = F.lit("unknown")
+    for kind, ends in reversed(LANGUAGES.items()):
+        language = F.when(name.rlike(rf"\.(?:{'|'.join(ends)})$"), kind).otherwise(language)
+    analysed = ~language.isin("json", "toml", "cfg") | (name == "package.json")
+    return files.withColumns({"path_tier": tier, "name_language": language, "analysed": analysed})
+
+
+#: Words of shell commands and their dimension.
+SHELL_WORDS = {"curl": "T", "wget": "T", "nc": "T", "bash": "X", "sh ": "X", "python ": "X", "node ": "X", "eval": "X", "base64": "E"}
+
+
+def script_calls(scripts: DataFrame) -> DataFrame:
+    """The rows of lifecycle scripts (…, command) with a row per shell word that the command holds: name and dimension."""
+    low = F.lower("command")
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit("shell:" + w.strip()).alias("name"), F.lit(d).alias("dimension"))) for w, d in SHELL_WORDS.items()]))
+    return scripts.select("*", F.explode(found).alias("_c")).select(*scripts.columns, "_c.name", "_c.dimension")
+
+
+def changed_files(files: DataFrame) -> DataFrame:
+    """(ecosystem, package, version, before_1, path, status): files of a version against those of the version before, by
+    path without the package folder: added, removed or changed."""
+    inner = F.regexp_replace("path", r"^(?:package|[^/]+-\d[^/]*)/", "").alias("path")
+    now = files.where("version IS NOT NULL AND path IS NOT NULL").select(*OWNER, inner, F.sha2(F.coalesce("content", F.lit("")), 256).alias("h"))
+    now = now.groupBy(*OWNER, "path").agg(F.min("h").alias("h"))
+    order = predecessors(files, (1,)).where("before_1 IS NOT NULL")
+    left = order.join(now, list(OWNER))
+    old = now.select("ecosystem", "package", F.col("version").alias("before_1"), "path", F.col("h").alias("old"))
+    right = order.join(old, ["ecosystem", "package", "before_1"])
+    j = left.join(right, [*OWNER, "before_1", "path"], "full")
+    status = F.when(F.col("old").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.col("h") != F.col("old"), "changed")
+    return j.select(*OWNER, "before_1", "path", status.alias("status")).where("status IS NOT NULL")
+
+
 def module_path(path: Column) -> Column:
     """Dotted module of a Python file's inner path."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.pyw?$", ""), r"(?:^|/)__init__$", ""), "/", ".")

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.catalogs import DECISIVE_PREFIXES, FILE_PATTERNS, LINE_PATTERNS, SEVERITY, WEAK_CODES
+from riskloom.catalogs import (
+    DECISIVE_PREFIXES, DECODERS, DYNAMIC_CODE, DYNAMIC_IMPORTS, FILE_PATTERNS, INSTALL_HOOKS, LINE_PATTERNS, SEVERITY, SHELL_CALLS, SYSTEM_CALLS, WEAK_CODES,
+)
 
 
 def severity_of(code: Column) -> Column:
@@ -53,6 +55,54 @@ def text_hits(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return hits.select(id_column, "h.code", "h.confidence", "h.line_no").distinct()
 
 
+def sequence_hits(calls: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, code, confidence, line_no): indicators that a file's calls (file_id, at, name, line, dimension, snippet) show,
+    each at the first call that it rests on; one aggregation per file for all of them."""
+    name, letter, line = F.col("name"), F.col("dimension"), F.col("snippet")
+    path = F.lower(F.coalesce("path", F.lit("")))
+    hook = F.lit(False)
+    for word in INSTALL_HOOKS:
+        hook = hook | F.contains(path, F.lit(word))
+    sends = letter == "T"
+    rules = [
+        ("EXS-001", 0.7, F.lit(True), F.endswith(F.col("path"), F.lit("__init__.py"))), ("EXS-002", 0.85, F.lit(True), hook),
+        ("EXM-001", 0.85, name.isin(*DYNAMIC_CODE), None), ("EXM-005", 0.7, name.isin(*DYNAMIC_IMPORTS), None),
+        ("EXM-006", 0.85, F.contains(line, F.lit("pip")) & F.contains(line, F.lit("install")), None), ("EXM-008", 0.75, name.isin(*SHELL_CALLS), None),
+        ("EXF-001", 0.85, sends, F.col("reads")), ("SYS-005", 0.6, name.isin(*SYSTEM_CALLS), None),
+        ("NET-009", 0.8, F.contains(line, F.lit("verify=False")) | F.contains(line, F.lit("_create_unverified_context")), None),
+        ("NET-010", 0.6, sends & F.contains(line, F.lit("http://")), None), ("DEF-003", 0.7, name.isin(*DECODERS), None),
+    ]
+    firsts = [F.min(F.when(test, F.struct("at", "line"))).alias(f"_{k}") for k, (_, _, test, _) in enumerate(rules)]
+    per_file = calls.groupBy("file_id").agg(F.max(letter == "I").alias("reads"), *firsts)
+    owned = per_file.join(files.select(F.col("file_id").cast("bigint").alias("file_id"), "path").dropDuplicates(["file_id"]), "file_id")
+    hits = [
+        F.when(F.col(f"_{k}").isNotNull() & (F.lit(True) if also is None else F.coalesce(also, F.lit(False))), F.struct(F.lit(code).alias("code"), F.lit(c).alias("confidence"), F.col(f"_{k}.line").alias("line_no")))
+        for k, (code, c, _, also) in enumerate(rules)
+    ]
+    return owned.select("file_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("file_id", "h.code", "h.confidence", "h.line_no")
+
+
+def hit_summary(best: DataFrame, id_column: str) -> DataFrame:
+    """(id, codes, families, high): the sorted codes of a text, the sorted beginnings of its codes and its HIGH hits."""
+    families = F.array_sort(F.array_distinct(F.transform("c", lambda x: F.substring_index(x, "-", 1))))
+    g = best.groupBy(id_column).agg(F.array_sort(F.collect_set("code")).alias("c"), F.count_if(F.col("severity") == "HIGH").alias("high"))
+    return g.select(id_column, F.array_join("c", ",").alias("codes"), F.array_join(families, ",").alias("families"), "high")
+
+
+#: Words that make a decoded string suspicious, in the order they are tried.
+SUSPICIOUS_WORDS = (
+    "exec(", "eval(", "subprocess", "os.system", "popen", "spawn", "child_process", "Function(", "__import__", "importlib", "http://", "https://",
+    "requests.", "urllib.", "fetch(", "axios.", "net.Socket", "socket.socket", "os.environ", "process.env", "open(", "fs.readFile", "/etc/passwd",
+    "/.ssh/", "/.aws/", "appdata", " -c ", "bash ", "/bin/sh", "cmd.exe", "powershell", " curl ", " wget ", "certutil", "base64", "atob", "b64decode",
+)
+
+
+def suspicious_word(text: Column) -> Column:
+    """The first of SUSPICIOUS_WORDS, in their order, that a text holds whatever its case."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in SUSPICIOUS_WORDS])
+
+
 def best_hits(hits: DataFrame, id_column: str) -> DataFrame:
     """One hit per text and code: the most confident, then the first; with its severity."""
     best = hits.groupBy(id_column, "code").agg(F.max(F.struct("confidence", (-F.col("line_no")).alias("n"))).alias("b"))

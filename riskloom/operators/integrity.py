@@ -52,3 +52,37 @@ def merkle_roots(files: DataFrame, key: Sequence[str], path: str, content: str)
         return hashes.map(lambda h: merkle_root(list(h)))
 
     return grouped.select(*key, F.size("hashes").alias("leaves"), root("hashes").alias("root"))
+
+
+#: Modes of integrity from weak to strong.
+MODES = ("fast", "strict", "paranoid")
+
+
+def fingerprint_matches(pairs: DataFrame, cached: str = "cached", fresh: str = "fresh") -> DataFrame:
+    """Adds match (boolean) and reason to pairs of fingerprints, structs (mode, etag, content_length, archive_sha256,
+    merkle_root). A cached fingerprint of a weaker mode than the fresh one does not count; a stronger one is compared as far
+    as the fresh mode goes. Missing values never match."""
+    c, f = F.col(cached), F.col(fresh)
+
+    def rank(mode: Column) -> Column:
+        return F.coalesce(F.array_position(F.array(*map(F.lit, MODES)), mode).cast("int"), F.lit(1))
+
+    def same(name: str) -> Column:
+        return F.coalesce(c[name] == f[name], F.lit(False))
+
+    reason = (
+        F.when(rank(c["mode"]) < rank(f["mode"]), "weaker mode")
+        .when(f["mode"] == "fast", F.when(same("etag") & (c["etag"] != "") & c["content_length"].eqNullSafe(f["content_length"]), "match").otherwise("headers differ"))
+        .when(c["archive_sha256"].isNull() | f["archive_sha256"].isNull(), "no archive hash")
+        .when(~same("archive_sha256"), "archive differs")
+        .when((f["mode"] == "paranoid") & (c["merkle_root"].isNull() | f["merkle_root"].isNull()), "no root")
+        .when((f["mode"] == "paranoid") & ~same("merkle_root"), "root differs")
+        .otherwise("match")
+    )
+    return pairs.withColumn("reason", reason).withColumn("match", F.col("reason") == "match")
+
+
+def verified(rows: DataFrame, columns: Sequence[str], key: bytes, signature: str = "row_hmac") -> DataFrame:
+    """Adds intact: whether a row's digest is the one that `signed` gives its columns; a null digest is not."""
+    again = signed(rows.withColumnRenamed(signature, "_given"), columns, key, signature)
+    return again.withColumn("intact", F.coalesce(F.col(signature) == F.col("_given"), F.lit(False))).drop(signature).withColumnRenamed("_given", signature)

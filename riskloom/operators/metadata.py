@@ -25,6 +25,21 @@ THRESHOLDS = {
 }
 
 
+#: Categories with the words of their names, the dimensions they allow and the calls they rule out.
+CATEGORY_RULES = {
+    "parser": (
+        "json|yaml|csv|xml|toml|parser|parse", "I",
+        ("requests.post", "requests.get", "subprocess.run", "subprocess.Popen", "os.system", "child_process.exec", "child_process.spawn", "http.request", "https.request", "fetch", "eval", "exec"),
+    ),
+    "formatter": (
+        "format|color|log|chalk|ansi|style", "",
+        ("requests.post", "requests.get", "subprocess.run", "subprocess.Popen", "http.request", "fetch", "eval", "exec", "os.environ.get", "process.env"),
+    ),
+    "date_utility": ("date|time|moment|dayjs|luxon|timezone", "", ("requests.post", "subprocess.run", "http.request", "fetch", "eval", "exec", "os.environ.get")),
+    "math_utility": ("math|stat|random|number|calc", "", ("requests.post", "subprocess.run", "os.environ.get", "http.request", "fetch", "eval", "exec")),
+}
+
+
 def category(text: Column) -> Column:
     """The first category one of whose keywords occurs in a text."""
     low = F.lower(text)
@@ -72,3 +87,16 @@ def agreement(votes: DataFrame, key: str, vote: str, truth: str) -> DataFrame:
         F.sum("n").alias("trials"), F.count("*").alias("distinct_votes"), F.min(F.struct((-F.col("n")).alias("n"), F.col(vote).alias("v"))).alias("m"), F.max("t").alias("t")
     )
     return g.select(key, "trials", "distinct_votes", F.col("m.v").alias("mode_vote"), F.round(-F.col("m.n") / F.col("trials"), 4).alias("agreement"), (F.col("m.v") == F.col("t")).alias("correct"))
+
+
+def provenance_level(raw: Column, ecosystem: Column) -> Column:
+    """Provenance level of registry metadata (JSON text): npm has a level for each of attestations and signatures of the
+    latest version; for PyPI any attestation counts as level 2. Null and invalid metadata are of level 0."""
+    latest = F.get_json_object(raw, "$.dist-tags.latest")
+    dist = F.from_json(F.get_json_object(raw, "$.versions"), "map<string,struct<dist:struct<attestations:map<string,string>,signatures:array<string>>>>")[latest]["dist"]
+    proved = F.coalesce(F.size(dist["attestations"]) > 0, F.lit(False))
+    signed = F.coalesce(F.size(dist["signatures"]) > 0, F.lit(False))
+    urls = F.from_json(F.get_json_object(raw, "$.urls"), "array<map<string,string>>")
+    attested = F.coalesce(F.exists(urls, lambda u: F.coalesce(u["provenance"], u["attestations"]).isNotNull()), F.lit(False))
+    npm = proved.cast("int") + signed.cast("int")
+    return F.when(F.lower(ecosystem) == "pypi", F.when(attested, 2).otherwise(0)).otherwise(npm)

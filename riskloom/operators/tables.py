@@ -67,6 +67,27 @@ def digest(df: DataFrame, parts: Sequence[str], length: int = 16) -> DataFrame:
     return df.agg(F.substring(F.sha2(F.array_join(lines, "|"), 256), 1, length).alias("digest"))
 
 
+def table_digest(df: DataFrame, parts: Sequence[str], length: int = 16) -> DataFrame:
+    """One row that stands for a table of any size, whatever its order: lines are hashed one by one and summed, so tasks hand
+    on two numbers each; repeated lines count."""
+    line = F.concat_ws("=", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+    number = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    total = F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(number), F.lit(0)).cast("string"))
+    return df.agg(F.substring(F.sha2(total, 256), 1, length).alias("digest"))
+
+
+def counts_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(part, value, n): rows per value of each column by itself, and of the whole table, in one pass."""
+    tagged = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("value")) for c in columns], F.struct(F.lit("all").alias("part"), F.lit(None).cast("string").alias("value")))).alias("p"))
+    return tagged.groupBy("p.part", "p.value").agg(F.count("*").alias("n"))
+
+
+def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key in the given order."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in sorted(tables.items()):

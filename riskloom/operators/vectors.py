@@ -1,8 +1,8 @@
 """Nearest neighbours by cosine similarity of unit vectors.
 
-Exact search in blocks: the query set is cut into blocks of at most BLOCK vectors that are sent to every partition of the
-corpus (a bounded broadcast); each partition multiplies matrices and keeps its k best per query, so a query shuffles k
-rows per partition. Queries run against all rows.
+Exact search in blocks, in one plan: queries and corpus are gathered into blocks of about BLOCK and ROWS vectors, every
+block of queries meets every block of the corpus, a task multiplies their matrices and keeps the k best per query, so a
+query shuffles k rows per corpus block. Queries run against all rows. Nothing passes through the driver but two counts.
 
 Defined results: null vectors match nothing and are no queries; a vector does not match itself; ties are broken by id;
 similarities are rounded before they are ranked; fewer than k rows give what there is.
@@ -17,54 +17,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, ROWS = 1024, 8192
+
+
+def _blocks(df: DataFrame, id_column: str, column: str, size: int, count: int, prefix: str) -> DataFrame:
+    """Vectors in blocks by a hash of the id: (block, ids, vectors), a block of about `size` of the `count` vectors."""
+    n = max(1, -(-count // size))
+    rows = df.select(F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias(f"{prefix}_block"), F.struct(F.col(id_column).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("v")).alias("e"))
+    return rows.groupBy(f"{prefix}_block").agg(F.collect_list("e").alias("e")).select(f"{prefix}_block", F.col("e.id").alias(f"{prefix}_ids"), F.flatten("e.v").alias(f"{prefix}_vectors"))
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", column: str = "embedding", digits: int = 4) -> DataFrame:
     """(query_id, neighbour_id, similarity, place)."""
-    chosen = queries.where(F.col(column).isNotNull()).select(id_column, column).orderBy(id_column)
-    rows = corpus.where(F.col(column).isNotNull()).select(F.col(id_column).cast("bigint"), column)
-    context = corpus.sparkSession.sparkContext
-    found = None
-
-    def scorer(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_q, q = block.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids_q)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+    rows, asked = corpus.where(F.col(column).isNotNull()), queries.where(F.col(column).isNotNull())
+    n, m = rows.count(), asked.count()
+    left = _blocks(rows, id_column, column, ROWS, n, "row")
+    right = _blocks(asked, id_column, column, BLOCK, m, "query")
+    numbers = F.sequence(F.lit(0), F.lit(max(1, -(-m // BLOCK)) - 1))
+    pairs = left.withColumn("query_block", F.explode(numbers)).join(right, "query_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x, ids_q, q in zip(*(batch.column(c) for c in range(4))):
+                ids, ids_q = (np.asarray(c.values, np.int64) for c in (ids, ids_q))
+                x, q = (np.asarray(c.values, np.float64).reshape(len(i), -1) for c, i in ((x, ids), (q, ids_q)))
                 scores = np.round(q @ x.T, digits)
-                for n in range(len(ids_q)):
-                    ok = ids != ids_q[n]
-                    s, i = np.concatenate([best[n][0], scores[n][ok]]), np.concatenate([best[n][1], ids[ok]])
-                    order = np.lexsort((i, -s))[:k]
-                    best[n] = s[order], i[order]
-            a = np.repeat(ids_q, [len(b[0]) for b in best])
-            s = np.concatenate([b[0] for b in best]) if best else np.empty(0)
-            i = np.concatenate([b[1] for b in best]) if best else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "neighbour_id", "similarity"])
-
-        return run
-
-    def blocks():
-        ids, vectors = [], []
-        for row in chosen.toLocalIterator():
-            ids.append(row[0])
-            vectors.append(row[1])
-            if len(ids) == BLOCK:
-                yield np.array(ids, np.int64), np.array(vectors, np.float64)
-                ids, vectors = [], []
-        if ids:
-            yield np.array(ids, np.int64), np.array(vectors, np.float64)
-
-    schema = "query_id bigint, neighbour_id bigint, similarity double"
-    for block in blocks():
-        part = rows.mapInArrow(scorer(context.broadcast(block)), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], schema)
+                scores[ids_q[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, axis=1)
+                keep = np.isfinite(best)
+                columns = (np.repeat(ids_q, keep.sum(axis=1)), ids[order][keep], best[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "neighbour_id", "similarity"])
+
+    found = pairs.select("row_ids", "row_vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id bigint, neighbour_id bigint, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import behavior, evidence, indicators, lookups, message_dedup
+from riskloom.operators import behavior, capabilities, dependencies, evidence, files as file_rows, indicators, lookups, message_dedup, metadata, versions as ranges
 
 OWNER = ("ecosystem", "package", "version")
 EVIDENCE = ("ecosystem", "package", "version", "stage", "code", "severity", "review", "confidence", "similarity")
@@ -69,22 +69,77 @@ def from_behavior(files: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
+def from_sequences(files: DataFrame, owners: DataFrame) -> DataFrame:
+    """Indicators over the order of Python calls."""
+    hits = indicators.sequence_hits(behavior.python_calls(files), files).withColumn("severity", indicators.severity_of(F.col("code")))
+    found = indicators.escalated(hits, "file_id")
+    return found.join(owners, "file_id").select(
+        *OWNER, F.lit("sequence").alias("stage"), "code", "severity", F.col("verdict").alias("review"), "confidence", F.col("confidence").alias("similarity")
+    )
+
+
+def from_scripts(files: DataFrame) -> DataFrame:
+    """Lifecycle scripts that fetch or run code."""
+    bad = metadata.dangerous_scripts(file_rows.lifecycle_scripts(files))
+    return bad.select(
+        *OWNER, F.lit("script").alias("stage"), F.col("hook").alias("code"), F.lit("HIGH").alias("severity"), F.lit("suspicious").alias("review"),
+        F.lit(0.8).alias("confidence"), F.lit(0.8).alias("similarity"),
+    )
+
+
+def from_dependencies(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Dependencies that advisories name: with the version they pin or all versions, or with others."""
+    found = dependencies.dependency_verdicts(dependencies.all_dependencies(files), advisories, ranges.pinned(F.col("spec"))).where("verdict <> 'CLEAN'")
+    exact = F.col("verdict") == "MALICIOUS"
+    return found.select(
+        *OWNER, F.lit("dependency").alias("stage"), F.col("name").alias("code"), F.when(exact, "HIGH").otherwise("LOW").alias("severity"),
+        F.when(exact, "malicious").otherwise("suspicious").alias("review"), F.when(exact, 0.9).otherwise(0.4).alias("confidence"), F.when(exact, 0.9).otherwise(0.4).alias("similarity"),
+    )
+
+
+def from_capabilities(files: DataFrame) -> DataFrame:
+    """Versions that can read untrusted input, reach private data and act outside, all at once."""
+    exposed = capabilities.exposure(capabilities.file_capabilities(files)).where("trifecta")
+    return exposed.select(
+        *OWNER, F.lit("capability").alias("stage"), F.lit("trifecta").alias("code"), F.lit("LOW").alias("severity"), F.lit("benign").alias("review"),
+        F.lit(0.3).alias("confidence"), F.lit(0.3).alias("similarity"),
+    )
+
+
 def gathered(queue: DataFrame, files: DataFrame, advisories: DataFrame, popular: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(versions, evidence)."""
     versions = releases(queue, files)
     decided = from_advisories(versions, advisories)
     owned = files.select(
-        "file_id", "language", "content", "ecosystem", message_dedup.canonical_package(files["ecosystem"], files["package"]).alias("package"), "version"
+        "file_id", "language", "content", "path", "basename", "ecosystem", message_dedup.canonical_package(files["ecosystem"], files["package"]).alias("package"), "version"
     ).dropDuplicates(["file_id"])
     open_ = owned.join(decided.select(*OWNER).distinct(), list(OWNER), "left_anti")
     owners = open_.select("file_id", *OWNER)
-    parts = [decided, from_names(versions, popular), from_indicators(open_, owners), from_behavior(open_, owners)]
+    parts = [
+        decided, from_names(versions, popular), from_indicators(open_, owners), from_behavior(open_, owners), from_sequences(open_, owners),
+        from_scripts(open_), from_dependencies(open_, advisories), from_capabilities(open_),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return versions, out.select(*EVIDENCE)
 
 
+#: Stages that a verdict needs.
+REQUIRED = ("registry", "source")
+
+
+def with_failures(verdicts: DataFrame, stages: DataFrame) -> DataFrame:
+    """Verdicts (owner, verdict) after the outcomes of stages (owner, stage, success, error): a version whose registry entry
+    was not found is CANNOT_ANALYZE, one with another failed REQUIRED stage ERROR, whatever its evidence says."""
+    failed = stages.where(~F.col("success") & F.col("stage").isin(*REQUIRED)).groupBy(*OWNER).agg(
+        F.max((F.col("stage") == "registry") & F.coalesce(F.contains(F.lower("error"), F.lit("not found")), F.lit(False))).alias("_missing")
+    )
+    j = verdicts.join(failed, list(OWNER), "left")
+    verdict = F.when(F.col("_missing"), "CANNOT_ANALYZE").when(F.col("_missing").isNotNull(), "ERROR").otherwise(F.col("verdict"))
+    return j.withColumn("verdict", verdict).select(*verdicts.columns)
+
+
 def assessed(queue: DataFrame, files: DataFrame, advisories: DataFrame, popular: DataFrame) -> DataFrame:
     """(ecosystem, package, version, evidence_count, avg_confidence, verdict) of every version."""
     versions, found = gathered(queue, files, advisories, popular)

