@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
@@ -83,15 +83,13 @@ def node_table(nodes: DataFrame, kind: str) -> DataFrame:
 def link_elements(nodes: DataFrame) -> DataFrame:
     """Array elements with the innermost array element that encloses each: obs_id, field, item, parent."""
 
-    def side(seeks: bool) -> DataFrame:
-        # a candidate encloses nodes of the next level; a seeker looks for a candidate of the level above
-        level: Column = F.col("level") - 1 if seeks else F.col("level")
-        item: Column = F.col("item") if seeks else F.lit(None).cast("string")
-        length: Column = F.lit(None).cast("int") if seeks else F.length("item")
-        return nodes.where("element").select("obs_id", "field", level.alias("level"), "copy", "pre", "post", item.alias("item"), length.alias("length"))
-
+    # a candidate encloses nodes of the next level and brings its path's length; a seeker looks for a candidate of the
+    # level above and brings its path
+    candidate_side = F.struct(F.col("level").alias("level"), F.lit(None).cast("string").alias("item"), F.length("item").alias("length"))
+    seeker_side = F.struct((F.col("level") - 1).alias("level"), F.col("item").alias("item"), F.lit(None).cast("int").alias("length"))
+    sides = nodes.where("element").select("obs_id", "field", "copy", "pre", "post", F.explode(F.array(candidate_side, seeker_side)).alias("s"))
     # one placing serves the search for parents and the removal of repeated rows
-    merged = side(False).unionByName(side(True)).repartition("obs_id", "field", "level")
+    merged = sides.select("obs_id", "field", "copy", "pre", "post", "s.*").repartition("obs_id", "field", "level")
     order = Window.partitionBy("obs_id", "field", "level", "copy").orderBy("pre", F.col("length").isNull())
     candidate = F.when(F.col("length").isNotNull(), F.struct("pre", "post", "length"))
     last = F.last(candidate, ignorenulls=True).over(order)
