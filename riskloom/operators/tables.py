@@ -38,6 +38,26 @@ def unseen(incoming: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFra
     return incoming.join(k, condition, "left_anti")
 
 
+def found_in(asked: DataFrame, known: DataFrame, key: Sequence[str], flag: str) -> DataFrame:
+    """The rows of `asked` with a flag that tells whether `known` has their key; null keys equal each other."""
+    k = known.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct().withColumn("_found", F.lit(True))
+    condition = None
+    for c in key:
+        one = asked[c].eqNullSafe(k[f"_{c}"])
+        condition = one if condition is None else condition & one
+    return asked.join(k, condition, "left").select(*asked.columns, F.coalesce("_found", F.lit(False)).alias(flag))
+
+
+def appended(log: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A log with the rows whose key it has not yet, so that appending them twice changes nothing."""
+    return log.unionByName(unseen(rows, log, key).dropDuplicates(list(key)))
+
+
+def stage_version(parts: Sequence[Column]) -> Column:
+    """The version of a stage's result: a digest of all that it depends on (rules, code, feeds)."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
+
+
 def delete_matching(df: DataFrame, **values: object) -> DataFrame:
     """`df` without the rows that match all given columns; at least one is needed."""
     if not values:

@@ -95,3 +95,20 @@ def osv_advisories(found: DataFrame, namespace: str = "LOCAL") -> DataFrame:
         F.array(F.struct(F.struct(F.col("package").alias("name"), "ecosystem").alias("package"), F.col("versions"))).alias("affected"),
     )
     return g.select("ecosystem", "package", F.to_json(doc).alias("advisory"))
+
+
+def tetragon_policies(indicators: DataFrame, key: str) -> DataFrame:
+    """(key, policy): one tracing policy (YAML) per subject of indicators (key, type, value): files it opens and addresses it
+    connects to, in order; subjects without either have none."""
+    quoted_ = F.concat(F.lit('            - "'), F.regexp_replace("value", r'(["\\\\])', r"\\\\$1"), F.lit('"'))
+    rows = indicators.where(F.col("type").isin("path", "ip")).select(key, "type", quoted_.alias("line")).distinct()
+    lists = [F.array_sort(F.collect_set(F.when(F.col("type") == t, F.col("line")))).alias(t) for t in ("path", "ip")]
+    g = rows.groupBy(key).agg(*lists)
+
+    def section(lines: Column, call: str, operator: str) -> Column:
+        head = f"  - call: {call}\\n    selectors:\\n      - matchArgs:\\n        - index: {0 if operator == 'DAddr' else 1}\\n          operator: {operator}\\n          values:\\n".replace("\\n", "\n")
+        return F.when(F.size(lines) > 0, F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+
+    head = F.concat(F.lit("apiVersion: cilium.io/v1alpha1\nkind: TracingPolicy\nmetadata:\n  name: subject-"), F.col(key).cast("string"), F.lit("\nspec:\n  kprobes:\n"))
+    text = F.concat(head, section(F.col("path"), "security_file_open", "Equal"), section(F.col("ip"), "tcp_connect", "DAddr"))
+    return g.select(key, text.alias("policy"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.catalogs import BEHAVIOR_RULES, DECISIVE_PREFIXES, JAVASCRIPT_CALLS, LINE_PATTERNS, NODE_BUILTINS, SEQUENCES, SEVERITY, WEAK_CODES, calls_of
 from riskloom.operators import (
-    alerts, behavior, capabilities, changes, deobfuscation, dependencies, evidence, files, indicators, integrity, lookups, message_dedup, metadata,
+    agents, alerts, behavior, capabilities, compliance, changes, deobfuscation, dependencies, drafts, evidence, files, indicators, integrity, lookups, message_dedup, metadata,
     nested_records, queue, reviews, tables, taint, vectors, versions,
 )
 from riskloom.plans import assessment, exports
@@ -1231,3 +1231,152 @@ def integrity_matches(spark: SparkSession, d: str) -> DataFrame:
     h, g = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")), F.when(F.col("o_custkey") % 7 > 0, F.lit("F"))
     pairs = o.select("o_orderkey", side(mode("o_custkey"), h).alias("cached"), side(mode("o_orderkey"), g).alias("fresh"))
     return integrity.fingerprint_matches(pairs).select("o_orderkey", "reason", "match")
+
+
+# agents and practice
+
+
+def _agent_signals(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files")
+    summaries = table(spark, d, "known_malicious").groupBy("ecosystem", "package").agg(F.max("summary").alias("description"))
+    packages = f.select("ecosystem", "package", "version").distinct().join(summaries, ["ecosystem", "package"], "left")
+    return agents.signals(packages, f.dropDuplicates(["file_id"]), dependencies.npm_dependencies(f))
+
+
+def _flags_sql() -> str:
+    loop = f"regexp_matches(t, {literal(agents.MODEL_CALL)}) AND regexp_matches(t, {literal(agents.DISPATCH)}) AND regexp_matches(t, {literal(agents.LOOP)})"
+    steps = " + ".join(f"CAST(regexp_matches(t, {literal(p)}) AS INTEGER)" for p in agents.STEPS)
+    parts = [f"bool_or(regexp_matches(t, {literal(p)})) AS {n}" for n, (_, p) in agents.SIGNS.items()]
+    return ", ".join([*parts, f"bool_or({steps} >= 2) AS steps", f"bool_or({loop}) AS loop_", f"bool_or(regexp_matches(t, {literal(agents.APPROVAL)})) AS approval"])
+
+
+_WEIGHED = " + ".join(
+    f"CASE WHEN {flag} THEN {w} ELSE 0 END"
+    for w, flag in [
+        (3, f"CASE WHEN ecosystem = 'PyPI' THEN regexp_matches(lower(package), {literal(agents.NAME['PyPI'])}) ELSE regexp_matches(lower(package), {literal(agents.NAME['npm'])}) END"),
+        (3, "(" + " OR ".join(f"contains(lower(coalesce(description, '')), '{w}')" for w in agents.DESCRIPTION) + ")"),
+        (3, "steps"), (3, "loop_"), (2, "client"), (2, "framework"), (1, "store"), *[(w, n) for n, (w, _) in agents.SIGNS.items()],
+    ]
+)
+
+
+@query(f"""WITH {_NPM}, f AS (SELECT DISTINCT ON (file_id) *, coalesce(content, '') AS t FROM source_files),
+p AS (SELECT DISTINCT ecosystem, package, version FROM f), s AS (SELECT ecosystem, package, max(summary) AS description FROM known_malicious GROUP BY 1, 2),
+b AS (SELECT ecosystem, package, version, {_flags_sql()} FROM f GROUP BY ALL),
+n AS (SELECT ecosystem, package, version, bool_or(lower(name) IN ({quoted(agents.MODEL_CLIENTS)})) AS client, bool_or(lower(name) IN ({quoted(agents.FRAMEWORKS)})) AS framework,
+    bool_or(lower(name) IN ({quoted(agents.STORES)})) AS store FROM dep GROUP BY ALL),
+w AS (SELECT p.*, {_WEIGHED.replace("ecosystem =", "p.ecosystem =").replace("lower(package)", "lower(p.package)")} AS score, coalesce(approval, false) AS has_approval
+    FROM p LEFT JOIN s ON p.ecosystem = s.ecosystem AND p.package = s.package LEFT JOIN b ON p.ecosystem = b.ecosystem AND p.package = b.package AND p.version IS NOT DISTINCT FROM b.version
+    LEFT JOIN n ON p.ecosystem = n.ecosystem AND p.package = n.package AND p.version = n.version)
+SELECT ecosystem, package, version, score, score >= {agents.THRESHOLD} AS is_agent, has_approval FROM w""")
+def agent_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _agent_signals(spark, d)
+
+
+@query()
+def agent_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "source_files").dropDuplicates(["file_id"])
+    capable = capabilities.file_capabilities(f)
+    nothing = capable.select("ecosystem", "package", "version", "capability").limit(0)
+    return agents.classified(_agent_signals(spark, d), agents.rule_hits(f), capable, capabilities.exposure(capable), nothing)
+
+
+_CHECKS = f"""v AS (SELECT DISTINCT ecosystem, package, version FROM source_files), s AS (SELECT ecosystem, package, version, bool_or(regexp_matches(lower(path), {literal(compliance.POLICY)})) AS policy,
+    bool_or(regexp_matches(lower(path), {literal(compliance.PARTS)})) AS parts, bool_or(regexp_matches(lower(path), {literal(compliance.HISTORY)})) AS history FROM source_files GROUP BY ALL),
+k AS (SELECT DISTINCT ecosystem, lower(package) AS n FROM known_popular),
+j AS (SELECT v.*, coalesce(policy, false) AS policy, coalesce(parts, false) AS parts, coalesce(history, false) AS history, k.n IS NOT NULL AS found FROM v
+    LEFT JOIN s ON v.ecosystem = s.ecosystem AND v.package = s.package AND v.version IS NOT DISTINCT FROM s.version LEFT JOIN k ON v.ecosystem = k.ecosystem AND lower(v.package) = k.n),
+c AS (SELECT ecosystem, package, version, unnest([{{'check': 'PO.4.1', 'status': CASE WHEN policy THEN 'PASS' ELSE 'UNKNOWN' END}}, {{'check': 'PS.1.1', 'status': 'UNKNOWN'}},
+    {{'check': 'PS.2.1', 'status': CASE WHEN history THEN 'PASS' ELSE 'UNKNOWN' END}}, {{'check': 'PS.3.1', 'status': CASE WHEN parts THEN 'PASS' ELSE 'FAIL' END}}, {{'check': 'PW.4.1', 'status': 'UNKNOWN'}},
+    {{'check': 'PW.4.4', 'status': CASE WHEN found THEN 'PASS' ELSE 'FAIL' END}}, {{'check': 'PW.4.5', 'status': 'UNKNOWN'}}, {{'check': 'PW.7.1', 'status': 'UNKNOWN'}}, {{'check': 'PW.8.1', 'status': 'UNKNOWN'}},
+    {{'check': 'RV.1.1', 'status': 'UNKNOWN'}}, {{'check': 'RV.2.1', 'status': CASE WHEN policy THEN 'PASS' ELSE 'UNKNOWN' END}}], recursive := true) FROM j)"""
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of all versions, known to the registry if popular, without scores."""
+    f = table(spark, d, "source_files")
+    known = table(spark, d, "known_popular").select("ecosystem", F.lower("package").alias("_n"), F.lit(True).alias("registry_found")).distinct()
+    v = f.select("ecosystem", "package", "version").distinct().withColumn("_n", F.lower("package")).join(known, ["ecosystem", "_n"], "left").drop("_n")
+    v = v.withColumns({"has_integrity": F.lit(None).cast("boolean"), "scores": F.lit(None).cast("map<string,double>")})
+    return compliance.checks(v, compliance.path_signs(f))
+
+
+@query(f"""WITH {_CHECKS} SELECT ecosystem, package, version, "check", status FROM c""")
+def practice_checks(spark: SparkSession, d: str) -> DataFrame:
+    return _checks(spark, d)
+
+
+@query(f"""WITH {_CHECKS} SELECT ecosystem, package, version, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'UNKNOWN') AS unknown,
+    round(count(*) FILTER (status = 'PASS') / count(*), 3) AS ratio FROM c GROUP BY ALL""")
+def practice_summary(spark: SparkSession, d: str) -> DataFrame:
+    return compliance.summary(_checks(spark, d))
+
+
+# patterns of alerts and rule drafts
+
+
+_PATTERNS = f"""{_IOC}, t AS (SELECT DISTINCT id, type FROM i WHERE type IN ('path', 'ip', 'domain') UNION SELECT id, 'exec' FROM a WHERE contains(payload, 'cmdline')),
+m AS (SELECT *, CASE type WHEN 'path' THEN 'INFORMATION_READING' WHEN 'exec' THEN 'PAYLOAD_EXECUTION' ELSE 'DATA_TRANSMISSION' END AS d, CASE type WHEN 'path' THEN 'EXF-001' WHEN 'exec' THEN 'EXM-008' ELSE 'NET-001' END AS c FROM t),
+p AS (SELECT id, string_agg(DISTINCT d, ',' ORDER BY d) AS dimensions, string_agg(DISTINCT c, ',' ORDER BY c) AS codes,
+    concat_ws(' + ', CASE WHEN bool_or(type = 'path') THEN 'credential read' END, CASE WHEN bool_or(type IN ('ip', 'domain')) THEN 'external network' END, CASE WHEN bool_or(type = 'exec') THEN 'process exec' END) AS summary,
+    count(DISTINCT d) >= 2 AND NOT bool_or(type = 'path') AS is_novel FROM m GROUP BY 1)"""
+
+
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    a = alerts.normalised(table(spark, d, "runtime_observations"))
+    return drafts.patterns(drafts.signs(alerts.indicators(a), a.where(F.contains("payload", F.lit("cmdline"))).select("id")))
+
+
+@query(f"WITH {_PATTERNS} SELECT * FROM p")
+def alert_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return _patterns(spark, d)
+
+
+_DRAFTS = f"""{_PATTERNS}, dr AS (SELECT 'RT-' || substr(md5(dimensions || '|' || codes), 1, 8) AS rule, CASE WHEN contains(dimensions, ',') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, summary, dimensions,
+    count(*) AS observations, 'draft' AS status FROM p GROUP BY dimensions, codes, summary)"""
+
+
+@query(f"WITH {_DRAFTS} SELECT * FROM dr")
+def rule_drafts(spark: SparkSession, d: str) -> DataFrame:
+    return drafts.rule_drafts(_patterns(spark, d))
+
+
+@query(f"WITH {_DRAFTS} SELECT * EXCLUDE (status), CASE WHEN severity = 'HIGH' THEN 'approved' ELSE status END AS status, CASE WHEN severity = 'HIGH' THEN 'reviewer' END AS approved_by FROM dr")
+def rules_approved(spark: SparkSession, d: str) -> DataFrame:
+    made = drafts.rule_drafts(_patterns(spark, d))
+    return drafts.approved(made, made.where("severity = 'HIGH'").select("rule", F.lit("reviewer").alias("by")))
+
+
+@query(f"WITH {_DRAFTS} SELECT severity, status, count(*) AS rules, CAST(sum(observations) AS BIGINT) AS observations FROM dr GROUP BY ALL")
+def rule_stats(spark: SparkSession, d: str) -> DataFrame:
+    return drafts.rule_drafts(_patterns(spark, d)).groupBy("severity", "status").agg(F.count("*").alias("rules"), F.sum("observations").alias("observations"))
+
+
+# stage results kept between runs
+
+
+@query("""WITH c AS (SELECT DISTINCT ecosystem, package, version, source_event AS stage, CAST(batch_id % 3 AS VARCHAR) AS stage_version FROM scan_queue WHERE completed_at IS NOT NULL),
+r AS (SELECT DISTINCT ecosystem, package, version, source_event AS stage, '1' AS stage_version FROM scan_queue)
+SELECT r.ecosystem, r.package, r.version, r.stage, EXISTS (SELECT 1 FROM c WHERE c.ecosystem IS NOT DISTINCT FROM r.ecosystem AND c.package IS NOT DISTINCT FROM r.package AND c.version IS NOT DISTINCT FROM r.version
+    AND c.stage IS NOT DISTINCT FROM r.stage AND c.stage_version = r.stage_version) AS hit FROM r""")
+def stage_hits(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "scan_queue")
+    owner = ["ecosystem", "package", "version", F.col("source_event").alias("stage")]
+    kept = q.where("completed_at IS NOT NULL").select(*owner, (F.col("batch_id") % 3).cast("string").alias("stage_version"))
+    asked = q.select(*owner, F.lit("1").alias("stage_version")).distinct()
+    return tables.found_in(asked, kept, ["ecosystem", "package", "version", "stage", "stage_version"], "hit").drop("stage_version")
+
+
+@query("SELECT source_event AS stage, count(*) AS n FROM scan_queue WHERE completed_at IS NOT NULL GROUP BY 1")
+def stage_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scan_queue").where("completed_at IS NOT NULL").groupBy(F.col("source_event").alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT severity, count(*) AS codes FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in SEVERITY.items()) + ") t(code, severity) GROUP BY 1")
+def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(SEVERITY.items()), "code string, severity string").groupBy("severity").agg(F.count("*").alias("codes"))
+
+
+@query()
+def export_tetragon(spark: SparkSession, d: str) -> DataFrame:
+    return exports.tetragon_policies(_iocs(spark, d), "id")

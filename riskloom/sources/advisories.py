@@ -17,9 +17,21 @@ OSV = """id string, aliases array<string>, summary string, details string, publi
         ranges: array<struct<type: string, events: array<map<string, string>>>>>>"""
 #: What a text about code may name.
 CODE_WORDS = [
-    r"\bbase64\.b64decode\b", r"\bexec\s*\(", r"\beval\s*\(", r"\bsubprocess\.(?:Popen|run|call)\b", r"\bos\.system\b", r"\bchild_process\.(?:exec|spawn)\b",
-    r"\brequests\.(?:get|post)\b", r"\burllib\.request\b", r"\bprocess\.env\b", r"\bos\.environ\b", r"\batob\s*\(", r"\bcurl\b", r"\bwget\b", r"\bpowershell\b",
-]
+    (r"\bbase64\.b64decode\b", "base64.b64decode"),
+    (r"\bexec\s*\(", "exec("),
+    (r"\beval\s*\(", "eval("),
+    (r"\bsubprocess\.(?:Popen|run|call)\b", "subprocess.Popen|run|call"),
+    (r"\bos\.system\b", "os.system"),
+    (r"\bchild_process\.(?:exec|spawn)\b", "child_process.exec|spawn"),
+    (r"\brequests\.(?:get|post)\b", "requests.get|post"),
+    (r"\burllib\.request\b", "urllib.request"),
+    (r"\bprocess\.env\b", "process.env"),
+    (r"\bos\.environ\b", "os.environ"),
+    (r"\batob\s*\(", "atob("),
+    (r"\bcurl\b", "curl"),
+    (r"\bwget\b", "wget"),
+    (r"\bpowershell\b", "powershell"),
+]
 NETWORK = r"https?://[^\s\"'>)]+|[a-zA-Z0-9.-]+\.(?:com|net|org|io|xyz|info|top|tk|ml|ga|cf|gq|onion)(?:/[^\s\"'>)]*)?|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?"
 
 
@@ -39,11 +51,8 @@ def attack_type(record_id: Column, aliases: Column, text: Column) -> Column:
 
 
 def code_indicators(text: Column) -> Column:
-    """The words of CODE_WORDS that a text matches, written without their pattern signs, sorted."""
-    import re
-
-    plain = [re.sub(r"\\b|\\s\*|\(\?:|\)|\\", "", p) for p in CODE_WORDS]
-    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), w) for p, w in zip(CODE_WORDS, plain)])))
+    """The names of CODE_WORDS whose patterns a text matches, sorted."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(w)) for p, w in CODE_WORDS])))
 
 
 def network_indicators(text: Column, most: int = 10) -> Column:

@@ -4,8 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import dependencies, files, indicators, integrity, metadata, queue, reviews, tables, vectors, versions
-from riskloom.plans import assessment
+from riskloom.operators import agents, capabilities, compliance, dependencies, drafts, files, indicators, integrity, metadata, queue, reviews, tables, vectors, versions
+from riskloom.plans import assessment, exports
 from riskloom.streaming import releases
 
 QUEUE = "id bigint, priority int, enqueued_at timestamp, locked_at timestamp, locked_by string, completed_at timestamp, result string, _own string"
@@ -164,3 +164,64 @@ def test_small_tables(spark):
     a, b = (tables.table_digest(spark.createDataFrame(r, "x string"), ["x"]).collect()[0].digest for r in ([("p",), ("q",), ("q",)], [("q",), ("p",), ("q",)]))
     c = tables.table_digest(spark.createDataFrame([("p",), ("q",)], "x string"), ["x"]).collect()[0].digest
     assert a == b != c and len(a) == 16
+
+
+def test_agents(spark):
+    loop = "while True:\n    r = llm.invoke(p)\n    tool.run(r)\n"
+    f = [
+        ("PyPI", "my-agent", "1", "a.py", loop), ("PyPI", "bad-agent", "1", "a.py", loop + "subprocess.run(x)\n"), ("PyPI", "root-agent", "1", "a.py", loop + "os.setuid(0)\n"),
+        ("PyPI", "plain", "1", "a.py", "os.setuid(0)\n"), ("PyPI", "load-agent", "1", "a.py", loop + "x = requests.get(u).json()\n"), ("PyPI", "eval-agent", "1", "a.py", loop + "globals()[n](1)\n"), ("npm", "empty", "1", None, None),
+    ]
+    files = spark.createDataFrame([(k, "python", *r) for k, r in enumerate(f)], "file_id int, language string, ecosystem string, package string, version string, path string, content string")
+    packages = files.select("ecosystem", "package", "version").distinct().withColumn("description", F.lit(None).cast("string"))
+    none = spark.createDataFrame([], "ecosystem string, package string, version string, name string")
+    found = agents.signals(packages, files, none)
+    assert {r.package for r in found.where("is_agent").collect()} == {r[1] for r in f if r[1].endswith("-agent")}
+    declared = spark.createDataFrame([("PyPI", "eval-agent", "1", "code-exec")], "ecosystem string, package string, version string, capability string")
+    designs = spark.createDataFrame([("PyPI", "eval-agent", "1", "action-selector")], "ecosystem string, package string, version string, design string")
+    capable = capabilities.file_capabilities(files)
+    got = {r.package: r.verdict for r in agents.classified(found, agents.rule_hits(files, designs), capable, capabilities.exposure(capable), declared).collect()}
+    assert got == {"my-agent": "AGENTIC", "bad-agent": "MALICIOUS", "root-agent": "MALICIOUS", "plain": "CLEAN", "load-agent": "HIGH_RISK", "eval-agent": "SUSPICIOUS", "empty": "CLEAN"}
+    assert agents.rule_hits(files.limit(0)).count() == 0
+
+
+def test_practice(spark):
+    v = spark.createDataFrame([("npm", "a", "1", True, True, {"SAST": 6.0, "Fuzzing": 1.0, "Security-Policy": 8.0, "Maintained": -1.0, "Vulnerabilities": 2.0}), ("npm", "b", "1", None, None, None)], "ecosystem string, package string, version string, registry_found boolean, has_integrity boolean, scores map<string,double>")
+    f = spark.createDataFrame([("npm", "b", "1", "package/SECURITY.md"), ("npm", "b", "1", "package/CHANGES.txt"), ("npm", "b", "1", None)], "ecosystem string, package string, version string, path string")
+    checked = compliance.checks(v, compliance.path_signs(f))
+    got = {(r.package, r.check): r.status for r in checked.collect()}
+    assert len(got) == 22 and [c for (p, c), s in sorted(got.items()) if p == "a" and s == "PASS"] == ["PO.4.1", "PW.4.4", "PW.4.5", "PW.8.1", "RV.2.1"]
+    assert got["a", "RV.1.1"] == got["a", "PS.3.1"] == "FAIL" and got["a", "PW.4.1"] == "UNKNOWN" and [c for (p, c), s in sorted(got.items()) if p == "b" and s == "PASS"] == ["PO.4.1", "PS.2.1", "RV.2.1"]
+    assert {r.package: (r.passed, r.failed, r.ratio) for r in compliance.summary(checked).collect()} == {"a": (5, 2, 0.455), "b": (3, 2, 0.273)}
+
+
+def test_rule_drafts(spark):
+    i = spark.createDataFrame([(1, "path", "/a"), (1, "ip", "1.2.3.4"), (2, "domain", "x.y"), (2, "domain", "z.y"), (3, "sha256", "ff")], "id int, type string, value string")
+    ran = spark.createDataFrame([(2,), (4,)], "id int")
+    found = drafts.patterns(drafts.signs(i, ran))
+    got = {r.id: r for r in found.collect()}
+    assert set(got) == {1, 2, 4} and not got[1].is_novel and got[2].is_novel and got[2].summary == "external network + process exec" and got[1].codes == "EXF-001,NET-001"
+    made = drafts.rule_drafts(found)
+    rules = {r.summary: r for r in made.collect()}
+    assert len(rules) == 3 and rules["process exec"].severity == "MEDIUM" and rules["external network + process exec"].severity == "HIGH"
+    once = drafts.approved(made, made.limit(1).select("rule", F.lit("b").alias("by")))
+    assert sorted(r.status for r in once.collect()) == ["approved", "draft", "draft"]
+    again = drafts.approved(once.drop("approved_by"), once.select("rule", F.lit("c").alias("by")))
+    assert sorted(r.approved_by or "" for r in again.collect()) == ["", "c", "c"]
+
+
+def test_logs_and_stages(spark):
+    log = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    more = spark.createDataFrame([(None, "x"), (2, "c"), (2, "c")], "k int, v string")
+    out = tables.appended(log, more, ["k"])
+    assert sorted((r.k or 0, r.v) for r in out.collect()) == [(0, "b"), (1, "a"), (2, "c")]
+    assert tables.appended(out, more, ["k"]).count() == 3
+    assert [(r.k, r.hit) for r in tables.found_in(more.distinct(), log, ["k"], "hit").orderBy("k").collect()] == [(None, True), (2, False)]
+    v = log.select(tables.stage_version([F.col("k"), F.col("v")]).alias("s")).distinct().collect()
+    assert len(v) == 2 and all(len(r.s) == 16 for r in v)
+
+
+def test_tracing_policies(spark):
+    i = spark.createDataFrame([(1, "path", '/a"b'), (1, "ip", "1.2.3.4"), (2, "domain", "x"), (3, "ip", "5.6.7.8")], "id int, type string, value string")
+    got = {r.id: r.policy for r in exports.tetragon_policies(i, "id").collect()}
+    assert set(got) == {1, 3} and '- "1.2.3.4"' in got[1] and "security_file_open" in got[1] and "security_file_open" not in got[3] and "\n  kprobes:\n  - call: tcp_connect\n" in got[3]
