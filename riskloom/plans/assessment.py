@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import behavior, capabilities, dependencies, evidence, files as file_rows, indicators, lookups, message_dedup, metadata, versions as ranges
+from riskloom.runtime import cut
 
 OWNER = ("ecosystem", "package", "version")
 EVIDENCE = ("ecosystem", "package", "version", "stage", "code", "severity", "review", "confidence", "similarity")
@@ -57,10 +58,10 @@ def from_indicators(files: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
-def from_behavior(files: DataFrame, owners: DataFrame) -> DataFrame:
+def from_behavior(files: DataFrame, owners: DataFrame, python: DataFrame) -> DataFrame:
     """Rules over the dimensions of each file's calls, in both languages."""
     js = behavior.javascript_calls(files).select("file_id", "dimension")
-    py = behavior.python_calls(files).select("file_id", "dimension")
+    py = python.select("file_id", "dimension")
     sets = js.unionByName(py).groupBy("file_id").agg(F.array_sort(F.collect_set("dimension")).alias("letters"))
     hits = behavior.ruled(sets, "file_id", "letters")
     review = F.when(F.col("severity") == "HIGH", "suspicious").otherwise("benign")
@@ -69,9 +70,9 @@ def from_behavior(files: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
-def from_sequences(files: DataFrame, owners: DataFrame) -> DataFrame:
+def from_sequences(files: DataFrame, owners: DataFrame, python: DataFrame) -> DataFrame:
     """Indicators over the order of Python calls."""
-    hits = indicators.sequence_hits(behavior.python_calls(files), files).withColumn("severity", indicators.severity_of(F.col("code")))
+    hits = indicators.sequence_hits(python, files).withColumn("severity", indicators.severity_of(F.col("code")))
     found = indicators.escalated(hits, "file_id")
     return found.join(owners, "file_id").select(
         *OWNER, F.lit("sequence").alias("stage"), "code", "severity", F.col("verdict").alias("review"), "confidence", F.col("confidence").alias("similarity")
@@ -109,14 +110,15 @@ def from_capabilities(files: DataFrame) -> DataFrame:
 def gathered(queue: DataFrame, files: DataFrame, advisories: DataFrame, popular: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(versions, evidence)."""
     versions = releases(queue, files)
-    decided = from_advisories(versions, advisories)
+    decided = cut(from_advisories(versions, advisories))
     owned = files.select(
         "file_id", "language", "content", "path", "basename", "ecosystem", message_dedup.canonical_package(files["ecosystem"], files["package"]).alias("package"), "version"
     ).dropDuplicates(["file_id"])
     open_ = owned.join(decided.select(*OWNER).distinct(), list(OWNER), "left_anti")
     owners = open_.select("file_id", *OWNER)
+    python = cut(behavior.python_calls(open_))  # parsed once for both stages that go by calls
     parts = [
-        decided, from_names(versions, popular), from_indicators(open_, owners), from_behavior(open_, owners), from_sequences(open_, owners),
+        decided, from_names(versions, popular), from_indicators(open_, owners), from_behavior(open_, owners, python), from_sequences(open_, owners, python),
         from_scripts(open_), from_dependencies(open_, advisories), from_capabilities(open_),
     ]
     out = parts[0]
