@@ -8,17 +8,18 @@ belongs to, how it begins, the kind of place and the path; words, beginnings and
 learnt and not listed. Patterns give weak labels, and only where they are sure; what they leave open has no label and
 does not enter the fit, and none of the label's tests (token formats, placeholder and name lists) is a feature.
 
-The models are fitted on the rows of a sample chosen by a hash of the id (about SAMPLE_FILES and SAMPLE_EVENTS rows, at
-most SAMPLE_CANDIDATES candidates), together with the same SEEDS made-up examples at every size; scores are calibrated on
-the fifth of the candidates that the fit does not see. Every row is then scored in whole; candidates with a calibrated score
-of at least CUTOFF are credentials. So the tables are read twice, once for the sample and once for the scores.
+The models are fitted on all candidates and all words of the tables, together with the same SEEDS made-up examples at
+every size: the executors add up bigrams and counts of names, then, for each Newton step, gradient and second derivatives
+over blocks of feature rows; only these sums go to the driver. Scores are calibrated on the fifth of the candidates (by a
+hash of value and name) that the regression leaves out for that. The texts are read once, their candidates are kept and
+then scored; candidates with a calibrated score of at least CUTOFF are credentials. Redaction reads the texts a second time.
 
 Redaction replaces the spans of credentials. Another occurrence of a credential in the same text is replaced only where it
 is a whole string literal, or where its characters cannot be part of an identifier.
 
 Defined results: null and empty contents, and raw_event values that are not valid JSON, hold none; contents of any
-length are scanned whole; rows that repeat an id count once; equal credentials of a record count once; an empty table
-gives an empty result; other columns are not read.
+length are scanned whole; rows that repeat an id count once; equal credentials of a record count once; lone surrogates of
+a JSON string count as `?`; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,10 @@ from pyspark.sql import functions as F
 from riskloom.functions import json_walk
 from riskloom.runtime import cut
 
-#: Expected rows and largest number of candidates of the sample that the models are fitted on.
-SAMPLE_FILES, SAMPLE_EVENTS, SAMPLE_CANDIDATES = 9000, 3000, 20_000
+#: Up to so many labelled candidates the driver adds up their blocks itself; the sums are the same.
+LOCAL_ROWS = 50_000
+#: Rows and characters of the values in a block, rows for a task of a Newton step, and its largest number of tasks.
+BLOCK_ROWS, BLOCK_CHARACTERS, TASK_ROWS, TASKS = 4096, 2_000_000, 500_000, 256
 #: Made-up examples of each kind that take part in every fit.
 SEEDS = 200
 CUTOFF = 0.5
@@ -106,7 +111,11 @@ LONG, LONG_LINE = 250, "\0long"
 MARKOV = tuple(range(1 + len(PLACES), 1 + len(PLACES) + 4))
 #: Dense columns that also count times the name's score, and times one less it.
 CROSSED = (*MARKOV, *range(MARKOV[-1] + 1, DENSE))
-WIDTH = DENSE + 1 + 2 * len(CROSSED) + BEGIN_BUCKETS + PATH_BUCKETS
+WIDE = DENSE + 1 + 2 * len(CROSSED)
+WIDTH = WIDE + BEGIN_BUCKETS + PATH_BUCKETS
+#: Weights of all columns but the beginnings.
+_APART = np.r_[0:WIDE, WIDE + BEGIN_BUCKETS : WIDTH]
+_WORD = re.compile(r"[A-Za-z][A-Za-z_]{3,20}")
 
 Candidate = tuple[int, int, str, str]  # start, end, place, name
 
@@ -319,27 +328,117 @@ class Names:
 
     def scores(self, found: list[tuple[str, str, str, str]], own: list[tuple[bool, float]] | None = None) -> np.ndarray:
         """Scores from 0 to 1; with `own`, each row's own count is left out, as for a name that the counts have not seen."""
-        out = np.empty(len(found))
+        out, known = np.empty(len(found)), {}
         for k, (_, place, name, _) in enumerate(found):
-            counts = self.counts[:, self.terms(place, name)].copy()
-            if own:
-                counts[int(own[k][0])] -= own[k][1]
-            counts = np.maximum(counts, 0)
-            out[k] = np.log((counts[1] + 0.5) / (counts[0] + 0.5)).sum()
+            key = place, name, own[k] if own else None
+            if key not in known:
+                counts = self.counts[:, self.terms(place, name)].copy()
+                if own:
+                    counts[int(own[k][0])] -= own[k][1]
+                counts = np.maximum(counts, 0)
+                known[key] = np.log((counts[1] + 0.5) / (counts[0] + 0.5)).sum()
+            out[k] = known[key]
         return _sigmoid(out)
 
 
-def matrix(found: list[tuple[str, str, str, str]], words: Markov, secrets: Markov, score: np.ndarray) -> np.ndarray:
-    """All features: the dense ones, the name's score, dense ones crossed with it, beginnings and paths."""
-    dense, score = features(found, words, secrets), score[:, None]
-    tail = np.zeros((len(found), BEGIN_BUCKETS + PATH_BUCKETS))
-    for k, (value, _, _, path) in enumerate(found):
-        low = path.removesuffix(LONG_LINE).lower()
-        tail[k, _bucket(value[:4], BEGIN_BUCKETS)] = 1
-        for term in (low.rsplit("/", 1)[-1].rsplit(".", 1)[-1], *low.split("/")[:-1][-1:]):
-            tail[k, BEGIN_BUCKETS + _bucket(term, PATH_BUCKETS)] = 1
-    crossed = dense[:, CROSSED]
-    return np.hstack([dense, score, crossed * score, crossed * (1 - score), tail]).astype(np.float32)
+class Block(NamedTuple):
+    """Rows of features, ordered by their beginnings: the dense ones and the name's score, the bucket of the beginning, up to
+    two buckets of the path (-1 for none), with the labels and the weight that each row has."""
+
+    part: np.ndarray
+    begin: np.ndarray
+    path: np.ndarray
+    y: np.ndarray
+    weight: float
+
+
+def block(found: list[tuple[str, str, str, str]], words: Markov, secrets: Markov, score: np.ndarray, y: np.ndarray, weight: float) -> Block:
+    part = np.hstack([features(found, words, secrets), score[:, None]]).astype(np.float32)
+    begin, path = np.empty(len(found), np.int16), np.full((len(found), 2), -1, np.int8)
+    for k, (value, _, _, where) in enumerate(found):
+        low = where.removesuffix(LONG_LINE).lower()
+        begin[k] = _bucket(value[:4], BEGIN_BUCKETS)
+        for side, term in enumerate((low.rsplit("/", 1)[-1].rsplit(".", 1)[-1], *low.split("/")[:-1][-1:])):
+            path[k, side] = _bucket(term, PATH_BUCKETS)
+    order = np.argsort(begin, kind="stable")
+    return Block(part[order], begin[order], path[order], y[order], weight)
+
+
+def _apart(rows: Block) -> np.ndarray:
+    """All features but the beginnings: the dense ones, the name's score, dense ones crossed with it, and paths."""
+    out = np.zeros((len(rows.y), len(_APART)))
+    out[:, : DENSE + 1] = rows.part
+    crossed, score = out[:, CROSSED[0] : DENSE], out[:, DENSE, None]
+    out[:, DENSE + 1 : DENSE + 1 + len(CROSSED)] = crossed * score
+    out[:, DENSE + 1 + len(CROSSED) : WIDE] = crossed * (1 - score)
+    for side in (0, 1):
+        there = np.flatnonzero(rows.path[:, side] >= 0)
+        out[there, WIDE + rows.path[there, side]] = 1
+    return out
+
+
+def logits(rows: Block, weights: np.ndarray) -> np.ndarray:
+    return _apart(rows) @ weights[_APART] + weights[WIDE + rows.begin]
+
+
+def moments(rows: Block, weights: np.ndarray) -> np.ndarray:
+    """Log loss, its gradient and its second derivatives, as one row: those among the columns apart from the beginnings,
+    those of beginnings with them, and those of each beginning."""
+    x = _apart(rows)
+    z = x @ weights[_APART] + weights[WIDE + rows.begin]
+    p = _sigmoid(z)
+    off, curve = (p - rows.y) * rows.weight, p * (1 - p) * rows.weight
+    gradient = np.empty(WIDTH)
+    gradient[_APART] = off @ x
+    gradient[WIDE : WIDE + BEGIN_BUCKETS] = np.bincount(rows.begin, off, BEGIN_BUCKETS)
+    bent, across = x * curve[:, None], np.zeros((BEGIN_BUCKETS, len(_APART)))
+    starts = np.flatnonzero(np.r_[True, rows.begin[1:] != rows.begin[:-1]])
+    across[rows.begin[starts]] = np.add.reduceat(bent, starts, axis=0)
+    return np.concatenate([[_loss(z, rows)], gradient, (bent.T @ x).ravel(), across.ravel(), np.bincount(rows.begin, curve, BEGIN_BUCKETS)])
+
+
+def _loss(z: np.ndarray, rows: Block) -> float:
+    return float((np.logaddexp(0, z) - rows.y * z).sum() * rows.weight)
+
+
+def _unpacked(flat: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and matrix of second derivatives of `moments`."""
+    n = len(_APART)
+    loss, gradient, inner, across, single = np.split(flat, np.cumsum([1, WIDTH, n * n, BEGIN_BUCKETS * n]))
+    begins, hessian = np.arange(WIDE, WIDE + BEGIN_BUCKETS), np.zeros((WIDTH, WIDTH))
+    hessian[np.ix_(_APART, _APART)] = inner.reshape(n, n)
+    hessian[np.ix_(begins, _APART)] = across.reshape(BEGIN_BUCKETS, n)
+    hessian[np.ix_(_APART, begins)] = across.reshape(BEGIN_BUCKETS, n).T
+    hessian[begins, begins] = single
+    return float(loss[0]), gradient, hessian
+
+
+def scale_moments(rows: Block, weights: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The same for the two numbers of the calibration."""
+    x = np.column_stack([logits(rows, weights), np.ones(len(rows.y))])
+    z = x @ scale
+    p = _sigmoid(z)
+    return np.concatenate([[_loss(z, rows)], ((p - rows.y) * rows.weight) @ x, ((x * (p * (1 - p) * rows.weight)[:, None]).T @ x).ravel()])
+
+
+def errors(rows: Block, weights: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """(rows, rows decided otherwise than labelled, squared differences) of the rows that are not made up."""
+    if rows.weight != 1:
+        return np.zeros(3)
+    p = _sigmoid(scale[0] * logits(rows, weights) + scale[1])
+    return np.array([len(p), ((p >= CUTOFF) != rows.y).sum(), ((p - rows.y) ** 2).sum()])
+
+
+def _stretches(lengths: list[int]) -> Iterator[slice]:
+    """Cuts rows with values of these lengths into blocks."""
+    begin = size = 0
+    for k, n in enumerate(lengths):
+        if k > begin and (k - begin == BLOCK_ROWS or size + n > BLOCK_CHARACTERS):
+            yield slice(begin, k)
+            begin, size = k, 0
+        size += n
+    if lengths:
+        yield slice(begin, len(lengths))
 
 
 def _bucket(term: str, buckets: int) -> int:
@@ -384,10 +483,13 @@ class Model:
 
     def scores(self, found: list[tuple[str, str, str, str]]) -> np.ndarray:
         """Calibrated probabilities of (value, place, name, path)."""
-        if not found:
-            return np.empty(0)
-        z = matrix(found, self.words, self.secrets, self.names.scores(found)) @ self.weights
-        return _sigmoid(self.scale[0] * z + self.scale[1])
+        out = np.empty(len(found))
+        for at in _stretches([len(one[0]) for one in found]):
+            part = found[at]
+            # the labels tell where the block has put its rows
+            rows = block(part, self.words, self.secrets, self.names.scores(part), np.arange(len(part)), 1.0)
+            out[at.start + rows.y] = _sigmoid(self.scale[0] * logits(rows, self.weights) + self.scale[1])
+        return out
 
     def without_markov(self) -> "Model":
         """The same model with the weights of all Markov features set to nothing."""
@@ -402,19 +504,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray, weight: np.ndarray | None = None, steps: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
-    weight = np.ones(len(y)) if weight is None else weight
+def _newton(ridge: np.ndarray, sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], steps: int = 100) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps, halved where they raise the loss; `sums` gives loss, gradient and
+    second derivatives over all rows."""
+    w, step, least = np.zeros(len(ridge)), np.zeros(len(ridge)), np.inf
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ ((p - y) * weight) + ridge * w
-        hessian = (x * (p * (1 - p) * weight)[:, None].astype(x.dtype)).T @ x + np.diag(ridge + np.full(x.shape[1], 1e-9))
-        step = np.linalg.solve(hessian, gradient)
+        loss, gradient, hessian = sums(w)
+        loss += (ridge * w * w).sum() / 2
+        if loss > least + 1e-9 * abs(least):
+            step /= 2
+            w += step
+            continue
+        least = loss
+        step = np.linalg.solve(hessian + np.diag(ridge + 1e-9), gradient + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-5:
-            break
-    return w
+            return w
+    raise ArithmeticError(f"the regression does not settle within {steps} steps")
 
 
 def seeds() -> list[tuple[str, str, str, str, float]]:
@@ -448,38 +554,121 @@ def seeds() -> list[tuple[str, str, str, str, float]]:
     return out
 
 
-def fit(sample: list[tuple[str, str, str, str]], counts: np.ndarray) -> Model:
-    """The model of a sample of (value, place, name, path) and of the bigram counts of the corpus' words."""
-    rows = [(*one, weak_label(*one), 1.0) for one in sample] + [(*one, 0.5) for one in seeds()]
-    rows = [r for r in rows if r[4] is not None]
-    held = np.array([_bucket(f"{r[0]}\0{r[2]}", 5) == 0 for r in rows])
-    y, weight = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    words = Markov(counts)
-    secrets = Markov(bigrams([_ARMOUR.sub("", r[0]) for r, h in zip(rows, held) if r[4] and not h]))
-    found = [r[:4] for r in rows]
+class Judged(NamedTuple):
+    """A candidate (value, place, name, path) with its weak label, whether it is held out for the calibration, and whether it
+    tells that its name is one of credentials."""
+
+    one: tuple[str, str, str, str]
+    label: float | None
+    held: bool
+    holds: bool
+
+
+def judged(one: tuple[str, str, str, str], label: float | None) -> Judged:
     # a placeholder tells, as a credential does, that its name is one of credentials
-    own = [(bool(r[4]) or is_placeholder(r[0]) and not PLAIN.match(r[0]), 0.0 if h else r[5]) for r, h in zip(rows, held)]
-    names = Names()
-    for r, (holds, much) in zip(rows, own):
-        names.add(r[1], r[2], holds, much)
-    x = matrix(found, words, secrets, names.scores(found, own))
-    ridge = np.full(x.shape[1], 0.05)
-    ridge[-BEGIN_BUCKETS - PATH_BUCKETS :] = 0.2
-    w = _regression(x[~held], y[~held], ridge, weight[~held])
-    z = np.column_stack([x[held] @ w, np.ones(held.sum())])
-    scale = tuple(_regression(z, y[held], 0.01, weight[held])) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
-    model = Model(w, scale, words, secrets, names)
-    real = held & (weight == 1.0)
-    p = _sigmoid(scale[0] * (x @ w) + scale[1])
-    open_ = [one for one in sample if weak_label(*one) is None]
-    model.report = {
-        "fitted": int((~held).sum()),
-        "held_out": int(real.sum()),
-        "held_out_wrong": int(((p >= CUTOFF) != y)[real].sum()),
-        "brier": float(((p - y)[real] ** 2).mean()) if real.any() else 0.0,
+    holds = bool(label) or label is not None and is_placeholder(one[0]) and not PLAIN.match(one[0])
+    return Judged(one, label, _bucket(f"{one[0]}\0{one[2]}", 5) == 0, holds)
+
+
+class Counted:
+    """What the models but the regression are made of: bigrams of words and of labelled credentials, counts of names."""
+
+    def __init__(self) -> None:
+        self.words, self.secrets, self.names = np.zeros((128, 128), np.int64), np.zeros((128, 128), np.int64), Names()
+        self.rows = np.zeros(2, np.int64)  # labelled rows: fitted, held out
+
+    def add(self, rows: list[Judged], weight: float) -> None:
+        rows = [r for r in rows if r.label is not None]
+        for r in rows:
+            self.rows[int(r.held)] += 1
+            if not r.held:
+                self.names.add(r.one[1], r.one[2], r.holds, weight)
+        self.secrets += bigrams([_ARMOUR.sub("", r.one[0]) for r in rows if r.label and not r.held])
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """Flat views of the counts."""
+        return {"words": self.words.reshape(-1), "secrets": self.secrets.reshape(-1), "names": self.names.counts.reshape(-1), "rows": self.rows}
+
+
+def blocks(rows: list[Judged], weight: float, words: Markov, secrets: Markov, names: Names) -> Iterator[tuple[bool, Block]]:
+    """(held out, block) of the labelled rows."""
+    for held in (False, True):
+        side = [r for r in rows if r.label is not None and r.held == held]
+        for at in _stretches([len(r.one[0]) for r in side]):
+            found = [r.one for r in side[at]]
+            own = [(r.holds, 0.0 if held else weight) for r in side[at]]
+            yield held, block(found, words, secrets, names.scores(found, own), np.array([r.label for r in side[at]]), weight)
+
+
+def _total(parts: Iterator[np.ndarray]) -> np.ndarray | float:
+    total = 0.0
+    for part in parts:
+        total = total + part
+    return total
+
+
+class Rows:
+    """Blocks of labelled rows: some here, others in a table of (held, part, begin, path, y)."""
+
+    def __init__(self, here: list[tuple[bool, Block]], table: DataFrame | None = None):
+        self.here, self.table = here, table
+
+    def total(self, held: bool, sums: Callable[[Block], np.ndarray]) -> np.ndarray:
+        """The sums of all blocks on one side."""
+        parts = [sums(b) for side, b in self.here if side == held]
+        if self.table is not None:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = _total(sums(_unpack(r)) for batch in batches for r in batch.to_pylist())
+                out = [total.tobytes()] if isinstance(total, np.ndarray) else []
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["sums"])
+
+            parts += [np.frombuffer(r.sums) for r in self.table.where(F.col("held") == held).mapInArrow(run, "sums binary").collect()]
+        return _total(iter(parts))
+
+
+def _packed(held: bool, rows: Block) -> dict:
+    return {"held": held, "part": rows.part.tobytes(), "begin": rows.begin.tobytes(), "path": rows.path.tobytes(), "y": rows.y.astype(np.uint8).tobytes()}
+
+
+def _unpack(r: dict) -> Block:
+    part, begin, path = np.frombuffer(r["part"], np.float32), np.frombuffer(r["begin"], np.int16), np.frombuffer(r["path"], np.int8)
+    return Block(part.reshape(-1, DENSE + 1), begin, path.reshape(-1, 2), np.frombuffer(r["y"], np.uint8).astype(float), 1.0)
+
+
+def estimated(counted: Counted, others: Callable[[Markov, Markov, Names], Rows]) -> Model:
+    """The model of counts and of the rows that `others` gives for the models of these counts; made-up examples join both."""
+    made_up = [judged(tuple(one), label) for *one, label in seeds()]
+    counted.add(made_up, 0.5)
+    parts = Markov(counted.words), Markov(counted.secrets), counted.names
+    rows = others(*parts)
+    rows.here += blocks(made_up, 0.5, *parts)
+    ridge = np.full(WIDTH, 0.05)
+    ridge[WIDE:] = 0.2
+    w = _newton(ridge, lambda w: _unpacked(rows.total(False, partial(moments, weights=w))))
+
+    def scale_sums(scale: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        flat = rows.total(True, partial(scale_moments, weights=w, scale=scale))
+        return flat[0], flat[1:3], flat[3:].reshape(2, 2)
+
+    scale = _newton(np.full(2, 0.01), scale_sums)  # the made-up examples held out are of both kinds
+    model = Model(w, tuple(scale), *parts)
+    n, wrong, squares = rows.total(True, partial(errors, weights=w, scale=scale))
+    model.report = {"fitted": int(counted.rows[0]), "held_out": int(n), "held_out_wrong": int(wrong), "brier": float(squares / max(n, 1))}
+    return model
+
+
+def fit(found: list[tuple[str, str, str, str]], counts: np.ndarray) -> Model:
+    """The model of all these (value, place, name, path) and of the bigram counts of the corpus' words."""
+    counted, rows = Counted(), [judged(one, weak_label(*one)) for one in found]
+    counted.words += counts.astype(np.int64)
+    counted.add(rows, 1.0)
+    model = estimated(counted, lambda *parts: Rows(list(blocks(rows, 1.0, *parts))))
+    open_ = [r.one for r in rows if r.label is None]
+    model.report |= {
         "unlabelled": len(open_),
         "unlabelled_taken": int((model.scores(open_) >= CUTOFF).sum()),
-        "changed_without_markov": int(((model.scores(sample) >= CUTOFF) != (model.without_markov().scores(sample) >= CUTOFF)).sum()),
+        "changed_without_markov": int(((model.scores(found) >= CUTOFF) != (model.without_markov().scores(found) >= CUTOFF)).sum()),
     }
     return model
 
@@ -596,71 +785,107 @@ def records(files: DataFrame | None, events: DataFrame | None) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def trained(files: DataFrame | None, events: DataFrame | None) -> Model:
-    """The model fitted on a bounded sample of the rows (see SAMPLE_FILES, SAMPLE_EVENTS, SAMPLE_CANDIDATES). The counts come
-    from the Parquet footers; the texts are read once."""
-    parts, scale = [], 1_000_000
-    for df, most, side in ((files, SAMPLE_FILES, 0), (events, SAMPLE_EVENTS, 1)):
-        if df is not None:
-            share = min(1.0, most / max(1, df.count()))
-            rows = records(df, None) if side == 0 else records(None, df)
-            parts.append(rows.where(F.pmod(F.xxhash64("record_id", F.lit(17)), F.lit(scale)) < int(share * scale)))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = rows.where("text IS NOT NULL AND text <> ''").select("origin", "path", "language", "text")
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, counts = [], np.zeros((128, 128), np.int64)
-            for origin, path, language, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for _, _, value, place, name, where in record_candidates(origin, text, language, path):
-                    out.append((value, place, name, where, 0))
-                counts += bigrams(re.findall(r"[A-Za-z][A-Za-z_]{3,20}", text))
-            for pair in np.flatnonzero(counts):
-                out.append((str(pair), "", "", "", int(counts.flat[pair])))
-            columns = zip(*out) if out else [[]] * 5
-            kinds = [pa.string()] * 4 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["value", "place", "name", "path", "n"])
-
-    found = cut(rows.mapInArrow(sample, "value string, place string, name string, path string, n bigint"))
-    order = F.xxhash64("value", "place", "name", "path")
-    values = found.where("place <> ''").orderBy(order, "value").limit(SAMPLE_CANDIDATES).collect()
-    pairs = found.where("place = ''").groupBy("value").agg(F.sum("n").alias("n")).collect()  # at most 128 * 128 rows
-    counts = np.zeros((128, 128), np.int64)
-    for r in pairs:
-        counts.flat[int(r.value)] = r.n
-    return fit([(r.value, r.place, r.name, r.path) for r in values], counts)
-
-
-def scored_credentials(rows: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """(origin, record_id, secret, kind, name, score): distinct credentials of each record."""
+_LOCATED = {
+    "origin": pa.string(), "record_id": pa.int64(), "value": pa.string(), "place": pa.string(), "name": pa.string(), "path": pa.string(),
+    "label": pa.float64(), "held": pa.bool_(), "holds": pa.bool_(), "counted": pa.string(), "bucket": pa.int32(), "n": pa.float64(),
+}
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """All candidates of the records with what `judged` says of them, and (counted, bucket, n) of `Counted` over each task's
+    texts. The texts are read here only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = Counted()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                meta, found = [], []
-                for origin, key, path, language, text in zip(*(part.column(k).to_pylist() for k in range(5))):
+                out, marks, words = [], [], []
+                for origin, key, path, language, text in zip(*(c.to_pylist() for c in batch.slice(begin, 500).columns)):
                     for _, _, value, place, name, where in record_candidates(origin, text, language, path):
-                        meta.append((origin, key, value, place, name))
-                        found.append((value, place, name, where))
-                out = [(*m, float(s)) for m, s in zip(meta, model.scores(found)) if s >= cutoff]
-                columns = zip(*out) if out else [[]] * 6
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)],
-                    names=["origin", "record_id", "secret", "kind", "name", "score"],
-                )
-
-    found = rows.where("text IS NOT NULL AND text <> ''").select("origin", "record_id", "path", "language", "text").mapInArrow(
-        run, "origin string, record_id bigint, secret string, kind string, name string, score double"
-    )
-    return found.groupBy("origin", "record_id", "secret").agg(
-        F.min("kind").alias("kind"), F.min("name").alias("name"), F.max("score").alias("score")
+                        one = _text(value), place, _text(name), where
+                        r = judged(one, weak_label(*one))
+                        marks.append(r)
+                        out.append((origin, key, *r.one, r.label, r.held, r.holds, None, None, None))
+                    words += _WORD.findall(text)
+                    if len(words) > 100_000:
+                        counted.words += bigrams(words)
+                        words = []
+                counted.words += bigrams(words)
+                counted.add(marks, 1.0)
+                yield _batch(out)
+        for kind, flat in counted.arrays().items():
+            yield _batch([(*[None] * 9, kind, int(k), float(flat[k])) for k in np.flatnonzero(flat)])
+
+    columns = ", ".join(f"{name} {_SPARK[kind]}" for name, kind in _LOCATED.items())
+    rows = rows.where("text IS NOT NULL AND text <> ''").select("origin", "record_id", "path", "language", "text")
+    return cut(rows.mapInArrow(run, columns))
+
+
+_SPARK = {pa.string(): "string", pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean", pa.int32(): "int"}
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*out) if out else [[]] * len(_LOCATED)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LOCATED.values())], names=list(_LOCATED))
+
+
+def _text(value: str) -> str:
+    """The text with `?` for lone surrogates, which JSON strings may hold and columns may not."""
+    return value if value.isascii() else value.encode("utf-8", "replace").decode()
+
+
+def _learnt(found: DataFrame) -> Model:
+    """The model of all candidates of `located`."""
+    counted = Counted()
+    sums = found.where("counted IS NOT NULL").groupBy("counted", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    flats = counted.arrays()
+    kinds, buckets, n = (sums.column(k).to_numpy() for k in range(3))
+    for kind, flat in flats.items():
+        flat[buckets[kinds == kind]] = n[kinds == kind]
+    size = int(counted.rows.sum())
+
+    def others(words: Markov, secrets: Markov, names: Names) -> Rows:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                rows = [Judged(one, *marks) for one, marks in zip(zip(*columns[:4]), zip(*columns[4:]))]
+                out = [_packed(held, b) for held, b in blocks(rows, 1.0, words, secrets, names)]
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("held", pa.bool_()), *((k, pa.binary()) for k in ("part", "begin", "path", "y"))]))
+
+        plain = found.where("label IS NOT NULL").select("value", "place", "name", "path", "label", "held", "holds")
+        table = plain.mapInArrow(run, "held boolean, part binary, begin binary, path binary, y binary")
+        if size <= LOCAL_ROWS:
+            return Rows([(r.held, _unpack(r.asDict())) for r in table.collect()])
+        tasks = min(TASKS, max(found.sparkSession.sparkContext.defaultParallelism, size // TASK_ROWS))
+        return Rows([], cut(table).coalesce(tasks))
+
+    return estimated(counted, others)
+
+
+def trained(files: DataFrame | None, events: DataFrame | None) -> Model:
+    """The model fitted on all rows."""
+    return _learnt(located(records(files, events)))
+
+
+def scored_credentials(found: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
+    """(origin, record_id, secret, kind, name, score): distinct credentials of each record, of the candidates of `located`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.scores(list(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))))
+            kept = pa.Table.from_batches([batch]).append_column("score", pa.array(scores)).filter(pa.array(scores >= cutoff))
+            yield from kept.select(["origin", "record_id", "value", "place", "name", "score"]).to_batches()
+
+    plain = found.where("place IS NOT NULL").select("origin", "record_id", "value", "place", "name", "path")
+    scored = plain.mapInArrow(run, "origin string, record_id bigint, value string, place string, name string, score double")
+    return scored.groupBy("origin", "record_id", F.col("value").alias("secret")).agg(
+        F.min("place").alias("kind"), F.min("name").alias("name"), F.max("score").alias("score")
     )
 
 
 def find_credentials(files: DataFrame | None, events: DataFrame | None) -> DataFrame:
-    return scored_credentials(records(files, events), trained(files, events))
+    found = located(records(files, events))
+    return scored_credentials(found, _learnt(found))
 
 
 def redact_text(origin: str, text: str, language: str, path: str, model: Model, cutoff: float = CUTOFF) -> str:

@@ -1,6 +1,7 @@
 import base64
 import json
 import random
+import re
 import time
 
 import numpy as np
@@ -414,6 +415,34 @@ def test_the_model_decides_and_not_its_labels():
     assert [s >= 0.5 for s in model_of([]).scores([("ghp_" + secret(36), "bare", "", ""), ("plain_word", "assigned", "token", "")])] == [True, False]
 
 
+def test_the_models_are_fitted_on_all_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    secret = lambda n: "".join(rng.choices("abcdefghijkLMNOPQRSTUVW0123456789", k=n - 3)) + "a1Z"
+    texts = [f'{rng.choice(["api_key", "db_password"])} = "{secret(rng.randint(8, 24))}"\nlabel = "plain{k}b"\n# {secret(9)} words' for k in range(11_000)]
+    raws = [json.dumps({"c": f"run --token={secret(12)} --label=plain{k}b"}) for k in range(4_000)]
+    f = spark.createDataFrame([(k, "src/a.py", "python", t) for k, t in enumerate(texts)], "file_id bigint, path string, language string, content string")
+    e = spark.createDataFrame(list(enumerate(raws)), "id bigint, raw_event string")
+    found = [c[2:] for t in texts for c in credentials.record_candidates("source_files", t, "python", "src/a.py")]
+    found += [c[2:] for r in raws for c in credentials.record_candidates("runtime_observations", r, "", "")]
+    whole = credentials.fit(found, credentials.bigrams([w for t in texts + raws for w in re.findall("[A-Za-z][A-Za-z_]{3,20}", t)]))
+    for local_rows in (10**9, 0):  # added up by the driver and by tasks
+        monkeypatch.setattr(credentials, "LOCAL_ROWS", local_rows, raising=False)
+        model = credentials.trained(f, e)
+        assert model.report == pytest.approx({k: whole.report[k] for k in model.report})
+        assert model.report["fitted"] + model.report["held_out"] > len(found) - whole.report["unlabelled"]
+        assert np.array_equal(model.words.log, whole.words.log) and np.array_equal(model.secrets.log, whole.secrets.log)
+        assert np.array_equal(model.names.counts, whole.names.counts)
+        assert np.abs(model.scores(found[::50]) - whole.scores(found[::50])).max() < 1e-4
+
+
+def test_lone_surrogates_count_as_question_marks(spark):
+    raw = json.dumps({"\ud800": "password=kM9xTq2LwZ7v\ud800Pq", "c": 1})
+    e = spark.createDataFrame([(1, raw)], "id bigint, raw_event string")
+    assert {r.secret for r in credentials.find_credentials(None, e).collect()} == {"kM9xTq2LwZ7v?Pq"}
+    (row,) = credentials.redacted(None, e).collect()
+    assert json.loads(row.text) == {"\ud800": "password=REDACTED", "c": 1}
+
+
 def test_passphrases_with_blanks_are_candidates():
     found = [c[2] for c in credentials.record_candidates("source_files", 'passphrase = "correct horse 9 battery"\nnote = "correct horse 9"\n', "python", "a.py")]
     assert found == ["correct horse 9 battery"]
